@@ -30,7 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), win AS (
   SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS s
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM w WHERE len(ws) >= 20)
@@ -42,7 +42,7 @@ WITH w AS (
   SELECT doc_id, list(q) AS qs FROM gone GROUP BY doc_id
 ), kept AS (
   SELECT w.doc_id, len(ws) AS n, coalesce(len(qs), 0) AS r,
-    list_filter(ws, (x, i) -> NOT list_contains(coalesce(qs, []::BIGINT[]), i)) AS k
+    list_filter(ws, lambda x, i: NOT list_contains(coalesce(qs, []::BIGINT[]), i)) AS k
   FROM w LEFT JOIN g USING (doc_id)
 )
 SELECT doc_id, n AS n_words, r AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
