@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import chunks, key_of, mix, runs, shuffle_partitions, utf8, word_bounds, word_hashes
 
 #: Bytes of distinct packed strings that a map task holds before it sends them on.
-HOLD_BYTES = 48 << 20
+HOLD_BYTES = 32 << 20
 _MM = 3
 _PACKED = "bucket int, docs binary, marks binary, starts binary, ends binary, words binary"
 _SPANS = "__d long, __m long, __s int, __e int"
@@ -34,7 +34,7 @@ def _pack(window: int, buckets: int):
         a = np.array(entries, np.int64).reshape(-1, 4)
         return (
             int(bucket), a[:, 0].tobytes(), a[:, 1].tobytes(), a[:, 2].astype(np.int32).tobytes(), a[:, 3].astype(np.int32).tobytes(),
-            None if strings is None else zstandard.ZstdCompressor(level=1).compress(b"\n".join(strings)),
+            None if strings is None else zstandard.ZstdCompressor(level=3).compress(b"\n".join(strings)),
         )
 
     def flush(seen: dict, again: list, late: list) -> Iterator[pa.RecordBatch]:
@@ -205,31 +205,34 @@ def _resolve(window: int):
     return run
 
 
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.schema.names
-        texts = utf8(batch.column(names.index("__t")))
-        spans = batch.column(names.index("__spans")).to_pylist()
-        total, gone, kept = [], [], []
-        for t, sp in zip(texts, spans, strict=True):
-            words = t.split()
-            total.append(len(words))
-            if not sp:
-                gone.append(0)
-                kept.append(b" ".join(words).decode())
-                continue
-            drop = np.zeros(len(words) + 1, np.int32)
-            for x in sp:
-                drop[x["__s"]] += 1
-                drop[x["__e"]] -= 1
-            stay = np.flatnonzero(np.cumsum(drop[:-1]) == 0).tolist()
-            gone.append(len(words) - len(stay))
-            kept.append(b" ".join([words[i] for i in stay]).decode())
-        rest = [c for n, c in zip(names, batch.columns, strict=True) if n not in ("__t", "__spans")]
-        yield pa.RecordBatch.from_arrays(
-            [*rest, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-            [n for n in names if n not in ("__t", "__spans")] + ["__n", "__r", "__kept"],
-        )
+def _keep(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            texts = utf8(batch.column(names.index(text_col)))
+            spans = batch.column(names.index("__spans")).to_pylist()
+            total, gone, kept = [], [], []
+            for t, sp in zip(texts, spans, strict=True):
+                words = t.split()
+                total.append(len(words))
+                if not sp:
+                    gone.append(0)
+                    kept.append(b" ".join(words).decode())
+                    continue
+                drop = np.zeros(len(words) + 1, np.int32)
+                for x in sp:
+                    drop[x["__s"]] += 1
+                    drop[x["__e"]] -= 1
+                stay = np.flatnonzero(np.cumsum(drop[:-1]) == 0).tolist()
+                gone.append(len(words) - len(stay))
+                kept.append(b" ".join([words[i] for i in stay]).decode())
+            rest = [(n, c) for n, c in zip(names, batch.columns, strict=True) if n != "__spans"]
+            yield pa.RecordBatch.from_arrays(
+                [*[c for _, c in rest], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+                [*[n for n, _ in rest], "__n", "__r", "__kept"],
+            )
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -246,10 +249,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"window must be {_MM} or more")
     spark = docs.sparkSession
     keyed = docs.withColumns({"__d": key_of(id_col), "__m": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    buckets = 8 * shuffle_partitions(spark)
+    buckets = 4 * shuffle_partitions(spark)
     packed = keyed.select("__d", "__m", text_col).mapInArrow(_pack(window, buckets), _PACKED)
     spans = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(window), _SPANS)
     gone = spans.groupBy("__d", "__m").agg(F.collect_list(F.struct("__s", "__e")).alias("__spans"))
-    both = keyed.withColumn("__t", F.col(text_col)).join(gone, ["__d", "__m"], "left").drop("__d", "__m")
+    both = keyed.join(gone, ["__d", "__m"], "left").drop("__d", "__m")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["__n long", "__r long", "__kept string"])
-    return both.mapInArrow(_keep, schema)
+    return both.mapInArrow(_keep(text_col), schema)
