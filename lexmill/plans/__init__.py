@@ -1 +1,6 @@
+"""Query registry and plans."""
 
+
+def load() -> None:
+    """Imports every module that registers queries."""
+    from . import document_queries, predicate_queries, text_queries  # noqa: F401
