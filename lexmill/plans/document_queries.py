@@ -88,10 +88,10 @@ _MD_TEXT = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
 @register("x01_markdown_sections", rf"""WITH {REC}, s AS (SELECT doc_id, unnest([{{'i': 1, 'level': 1, 'title': 'One', 'path': 'One', 'b': {_MD_TEXT.format('left(body, 50)')}}},
-  {{'i': 2, 'level': 3, 'title': 'Deep', 'path': 'One > Deep', 'b': 'x'}}, {{'i': 3, 'level': 2, 'title': 'Two', 'path': 'One > Two', 'b': {_MD_TEXT.format('substring(body, 51, 2000)')}}}]) AS s FROM rec WHERE NOT regexp_matches(body, '(?m)^#'))
+  {{'i': 2, 'level': 3, 'title': 'Deep', 'path': 'One > Deep', 'b': 'x'}}, {{'i': 3, 'level': 2, 'title': 'Two', 'path': 'One > Two', 'b': {_MD_TEXT.format('substring(body, 51, 2000)')}}}]) AS s FROM rec WHERE NOT regexp_matches(body || chr(10) || substring(body, 51, 2000), '(?m)^#'))
 SELECT doc_id, s.level AS level, s.title AS title, s.path AS heading_path, md5(s.b) AS body_md5 FROM s""")
 def x01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = records(spark, sf_dir).where(~F.col("body").rlike("(?m)^#")).select("doc_id", F.explode(structure.sections(_MD)).alias("s"))
+    s = records(spark, sf_dir).where(~F.concat_ws("\n", "body", F.substring("body", 51, 2000)).rlike("(?m)^#")).select("doc_id", F.explode(structure.sections(_MD)).alias("s"))
     return s.select("doc_id", "s.level", "s.title", "s.heading_path", F.md5("s.body").alias("body_md5"))
 
 
