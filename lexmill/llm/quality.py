@@ -23,7 +23,9 @@ from .common import chunks, mix, utf8, word_bounds, word_hashes
 BITS = 18
 #: Most labelled rows to train on: those with the least hash of their id.
 MOST_ROWS = 6000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.4, 1.0, 0.02, 0.5
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.002, 0.05
+#: Least passes over the sample, and least updates: a small sample is gone through more often.
+EPOCHS, UPDATES = 3, 9000
 _CLASS = np.full(256, 4, np.uint64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 0, 1, 2, 3
 
@@ -85,7 +87,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows += zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist(), strict=True)
     rows.sort(key=lambda r: (r[0], r[1], r[2]))
     grams, model = list(features([t for _, t, _ in rows])), Ftrl()
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-UPDATES // max(1, len(rows))))):
         for g, (_, _, label) in zip(grams, rows, strict=True):
             model.learn(g, label)
     yield pa.RecordBatch.from_arrays([pa.array([model.weights(slice(None)).astype("<f8").tobytes()], pa.binary())], ["w"])
