@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from .predicates import BIBLIO_DENSE, CITATION_LINE, DOI, PUNCTUATION, bad_title, reasons
 from .text import blank, content_tokens, let, normalize_eval, normalize_heading, numbers, reference_line_ratio, sentence_chunks, table_line_ratio
@@ -111,13 +112,13 @@ def chunk_quality(c: Column) -> Column:
     return let(F.regexp_replace(blank(c), r"^\s+|\s+$", ""), rate)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; there is no JVM-side form."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def best_sentence_ratio(pieces: pd.Series, reference: pd.Series) -> pd.Series:
     """Greatest T25 of any piece with the reference."""
     return pd.Series([max((SequenceMatcher(None, p, r).ratio() for p in ps), default=0.0) if r else 0.0 for ps, r in zip(pieces, reference, strict=True)])
