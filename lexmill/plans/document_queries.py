@@ -83,7 +83,7 @@ def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # sections: headings are put between a document's lines, as no text of the tables has any
-_MD = F.concat_ws("\n", F.lit("# One"), F.substring("body", 1, 50), F.lit("### Deep"), F.lit("x"), F.lit("## Two"), F.substring("body", 51, 2000))
+_MD = lambda: F.concat_ws("\n", F.lit("# One"), F.substring("body", 1, 50), F.lit("### Deep"), F.lit("x"), F.lit("## Two"), F.substring("body", 51, 2000))
 _MD_TEXT = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
@@ -91,27 +91,27 @@ _MD_TEXT = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
   {{'i': 2, 'level': 3, 'title': 'Deep', 'path': 'One > Deep', 'b': 'x'}}, {{'i': 3, 'level': 2, 'title': 'Two', 'path': 'One > Two', 'b': {_MD_TEXT.format('substring(body, 51, 2000)')}}}]) AS s FROM rec WHERE NOT regexp_matches(body || chr(10) || substring(body, 51, 2000), '(?m)^#'))
 SELECT doc_id, s.level AS level, s.title AS title, s.path AS heading_path, md5(s.b) AS body_md5 FROM s""")
 def x01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = records(spark, sf_dir).where(~F.concat_ws("\n", "body", F.substring("body", 51, 2000)).rlike("(?m)^#")).select("doc_id", F.explode(structure.sections(_MD)).alias("s"))
+    s = records(spark, sf_dir).where(~F.concat_ws("\n", "body", F.substring("body", 51, 2000)).rlike("(?m)^#")).select("doc_id", F.explode(structure.sections(_MD())).alias("s"))
     return s.select("doc_id", "s.level", "s.title", "s.heading_path", F.md5("s.body").alias("body_md5"))
 
 
-_IN = F.concat_ws("\n", F.lit("intro"), F.concat(F.lit("1. Kết quả: "), F.substring("body", 1, 40)), F.substring("body", 41, 500), F.lit("KẾT LUẬN  xong"))
+_IN = lambda: F.concat_ws("\n", F.lit("intro"), F.concat(F.lit("1. Kết quả: "), F.substring("body", 1, 40)), F.substring("body", 41, 500), F.lit("KẾT LUẬN  xong"))
 
 
 @register("x02_inline_sections", f"""WITH {REC} SELECT doc_id, unnest(['KẾT QUẢ', 'KẾT LUẬN']) AS title, unnest([md5({_MD_TEXT.format(f"{sq('left(split_part(body, chr(10), 1), 40)')} || CASE WHEN contains(left(body, 40), chr(10)) THEN chr(10) || substring(left(body, 40), instr(left(body, 40), chr(10)) + 1) ELSE '' END || chr(10) || substring(body, 41, 500)")}), md5('xong')]) AS body_md5
 FROM rec WHERE {sq('left(split_part(body, chr(10), 1), 40)')} <> ''""")
 def x02(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = records(spark, sf_dir).where(T.squeeze(F.substring(F.split_part("body", F.lit("\n"), F.lit(1)), 1, 40)) != "")
-    s = rec.select("doc_id", F.explode(structure.inline_sections(_IN)).alias("s"))
+    s = rec.select("doc_id", F.explode(structure.inline_sections(_IN())).alias("s"))
     return s.select("doc_id", "s.title", F.md5("s.body").alias("body_md5"))
 
 
-_PL = F.concat_ws("\n", F.lit("ABSTRACT:"), F.substring("body", 1, 300), F.lit("References"), F.lit("1. x"))
+_PL = lambda: F.concat_ws("\n", F.lit("ABSTRACT:"), F.substring("body", 1, 300), F.lit("References"), F.lit("1. x"))
 
 
 @register("h01_plain_sections", f"""WITH {REC} SELECT doc_id, unnest(['ABSTRACT', 'REFERENCES']) AS title, unnest([md5({_MD_TEXT.format('left(body, 300)')}), md5('1. x')]) AS body_md5 FROM rec""")
 def h01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = records(spark, sf_dir).select("doc_id", F.explode(structure.plain_sections(_PL)).alias("s"))
+    s = records(spark, sf_dir).select("doc_id", F.explode(structure.plain_sections(_PL())).alias("s"))
     return s.select("doc_id", "s.title", F.md5("s.body").alias("body_md5"))
 
 
@@ -122,7 +122,7 @@ def w06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "\x01")).alias("digest"))
 
 
-scalar("u08_dedupe_blocks", {"value": (F.array_join(structure.dedupe_blocks(F.array(F.col("title"), F.concat(F.lit("  "), F.col("title")), F.lit("a"), F.concat(F.lit("a "), F.col("title")), F.lit("a"))), "|"),
+scalar("u08_dedupe_blocks", {"value": (lambda: F.array_join(structure.dedupe_blocks(F.array(F.col("title"), F.concat(F.lit("  "), F.col("title")), F.lit("a"), F.concat(F.lit("a "), F.col("title")), F.lit("a"))), "|"),
     f"""array_to_string(CASE WHEN {sq('title')} = '' THEN ['a'] WHEN lower({sq('title')}) = 'a' THEN [title, 'a ' || title] ELSE [title, 'a', 'a ' || title] END, '|')""")})
 
 

@@ -48,11 +48,14 @@ def register(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-def scalar(name: str, columns: dict[str, tuple[Column | Callable[[], Column], str]], base: dict[str, Column] | None = None) -> None:
-    """Registers a projection of the records: column -> (expression, SQL); ``base`` holds columns that several expressions share."""
+def scalar(name: str, columns: dict[str, tuple[Callable[[], Column], str]], base: dict[str, Callable[[], Column]] | None = None) -> None:
+    """Registers a projection of the records: column -> (expression, SQL); ``base`` holds columns that several expressions share.
+
+    Expressions are callables, as columns can't be built before there is a session.
+    """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return records(spark, sf_dir).withColumns(base or {}).select("doc_id", *[(c() if callable(c) else c).alias(k) for k, (c, _) in columns.items()])
+        return records(spark, sf_dir).withColumns({k: c() for k, c in (base or {}).items()}).select("doc_id", *[c().alias(k) for k, (c, _) in columns.items()])
 
     register(name, f"WITH {REC} SELECT doc_id, " + ", ".join(f"{s} AS {k}" for k, (_, s) in columns.items()) + " FROM rec")(query)
 

@@ -127,7 +127,7 @@ def u03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TN = title_norm("title")
 _TB = title_norm("substring(body, 1, 90)")
-scalar("j19_title_contains", {"value": (retrieval.title_contains(T.title_norm(F.col("title")), T.title_norm(F.substring("body", 1, 90))),
+scalar("j19_title_contains", {"value": (lambda: retrieval.title_contains(T.title_norm(F.col("title")), T.title_norm(F.substring("body", 1, 90))),
     f"""{_TN} <> '' AND {_TB} <> '' AND ({_TN} = {_TB} OR (len({_TN}) >= 15 AND contains({_TB}, {_TN})) OR (len({_TB}) >= 15 AND contains({_TN}, {_TB}))
   OR (len(list_distinct(string_split({_TN}, ' '))) >= 3 AND len(list_distinct(string_split({_TB}, ' '))) >= 3 AND len(list_intersect(list_distinct(string_split({_TN}, ' ')), list_distinct(string_split({_TB}, ' ')))) / least(len(list_distinct(string_split({_TN}, ' '))), len(list_distinct(string_split({_TB}, ' ')))) >= 0.7))""")})
 

@@ -15,24 +15,24 @@ from ..streaming import streams
 from .registry import REC, records, register, scalar, table
 from .text_queries import quoted
 
-_ID = F.col("doc_id")
+_ID = lambda: F.col("doc_id")
 _URLS = ["https://a.example/x/Some_Title-here.html?q=1#f", "http://b.example/d/report%20one.PDF", "/rel/noext", "", "https://c.example/a.b/c.tar.gz", "https://c.example"]
-_URL, _URL_SQL = F.element_at(F.array(*[F.lit(u) for u in _URLS]), (_ID % 6 + 1).cast("int")), f"{quoted(_URLS)}[(doc_id % 6 + 1)::INT]"
+_URL, _URL_SQL = (lambda: F.element_at(F.array(*[F.lit(u) for u in _URLS]), (_ID() % 6 + 1).cast("int"))), f"{quoted(_URLS)}[(doc_id % 6 + 1)::INT]"
 _SLUGS = ["some title here", "report one", "noext", "", "c.tar.gz", ""]
-scalar("t53_title_from_url", {"value": (T.title_from_url(_URL), f"{quoted(_SLUGS)}[(doc_id % 6 + 1)::INT]")})
+scalar("t53_title_from_url", {"value": (lambda: T.title_from_url(_URL()), f"{quoted(_SLUGS)}[(doc_id % 6 + 1)::INT]")})
 _EXTS = [".html", ".pdf", "", "", ".gz", ""]
-scalar("t73_extension", {"value": (T.extension(F.when(_ID % 7 == 0, "Name.TXT").otherwise(""), _URL), f"CASE WHEN doc_id % 7 = 0 THEN '.txt' ELSE {quoted(_EXTS)}[(doc_id % 6 + 1)::INT] END")})
+scalar("t73_extension", {"value": (lambda: T.extension(F.when(_ID() % 7 == 0, "Name.TXT").otherwise(""), _URL()), f"CASE WHEN doc_id % 7 = 0 THEN '.txt' ELSE {quoted(_EXTS)}[(doc_id % 6 + 1)::INT] END")})
 _E = [".htm", ".xml", "", ".PNG", ".docx", ".txt", ".markdown", ".jsonl", ".bin"]
 _M = ["", "", "application/pdf", "", "", "", "", "", "image/tiff"]
 _C = ["html", "xml", "pdf", "image", "docx", "txt", "md", "jsonl", "image"]
 _S = ["html_text", "xml_text", "classify_pdf", "image_backlog", "office_backlog", "universal_loader", "universal_loader", "universal_loader", "image_backlog"]
-_AT = lambda v: F.element_at(F.array(*[F.lit(x) for x in v]), (_ID % 9 + 1).cast("int"))
-scalar("t74_content_class", {"value": (T.content_class(_AT(_E), _AT(_M)), f"{quoted(_C)}[(doc_id % 9 + 1)::INT]")})
-scalar("t75_extract_strategy", {"value": (T.extract_strategy(T.content_class(_AT(_E), _AT(_M))), f"{quoted(_S)}[(doc_id % 9 + 1)::INT]")})
+_AT = lambda v: F.element_at(F.array(*[F.lit(x) for x in v]), (_ID() % 9 + 1).cast("int"))
+scalar("t74_content_class", {"value": (lambda: T.content_class(_AT(_E), _AT(_M)), f"{quoted(_C)}[(doc_id % 9 + 1)::INT]")})
+scalar("t75_extract_strategy", {"value": (lambda: T.extract_strategy(T.content_class(_AT(_E), _AT(_M))), f"{quoted(_S)}[(doc_id % 9 + 1)::INT]")})
 _HREF = ["#top", "javascript:x()", "mailto:a@b", "/abs/p#f", "rel/p?q#f", "//h.example/p", "https://z.example/#a", "?page=2", " "]
 _HAVE = ["", "", "", "https://a.example/abs/p", "https://a.example/x/rel/p?q", "https://h.example/p", "https://z.example/", "https://a.example/x/y?page=2", ""]
-scalar("t72_normalize_href", {"value": (T.normalize_href(F.lit("https://a.example/x/y?z=1#w"), _AT(_HREF)), f"{quoted(_HAVE)}[(doc_id % 9 + 1)::INT]")})
-scalar("k10_safe_name", {"value": (sinks.safe_name(F.col("source_name"), F.concat(F.lit("a/b c/doc é ("), _ID, F.lit(").v2.txt"))),
+scalar("t72_normalize_href", {"value": (lambda: T.normalize_href(F.lit("https://a.example/x/y?z=1#w"), _AT(_HREF)), f"{quoted(_HAVE)}[(doc_id % 9 + 1)::INT]")})
+scalar("k10_safe_name", {"value": (lambda: sinks.safe_name(F.col("source_name"), F.concat(F.lit("a/b c/doc é ("), _ID(), F.lit(").v2.txt"))),
     "source_name || '__doc_é__' || doc_id || '_.v2__' || left(sha1('a/b c/doc é (' || doc_id || ').v2.txt'), 10) || '.txt'")})
 
 
