@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from .predicates import BIBLIO_DENSE, CITATION_LINE, DOI, PUNCTUATION, bad_title, reasons
-from .text import blank, content_tokens, let, normalize_eval, normalize_heading, numbers, reference_line_ratio, sentence_chunks, table_line_ratio
+from .text import blank, content_tokens, let, negative_cue, normalize_eval, normalize_heading, numbers, reference_line_ratio, sentence_chunks, table_line_ratio
 
 # ---------------------------------------------------------------- fixed values
 GO, REVIEW = 85, 70
@@ -25,6 +26,8 @@ DOMAIN_TERMS = [
 ]
 # ----------------------------------------------------------------------------
 
+_TOKEN, _PIECE = re.compile(r"[\w%.,/-]+"), re.compile(r"[\n\r]+|(?<=[.!?])\s+")
+
 
 def status_of(score: Column) -> Column:
     return F.when(score >= GO, "go").when(score >= REVIEW, "review").otherwise("hold")
@@ -165,3 +168,64 @@ def verdict(base_hit: Column, hit: Column, base_mrr: Column, mrr: Column, generi
         F.when((hit < 80) | (generic > 0) | (hit < base_hit - 5), "ROLLBACK")
         .when((hit >= base_hit - 3) & (mrr >= base_mrr - 0.03) & (hit >= 85), "PROMOTE").otherwise("MANUAL_REVIEW")
     )
+
+
+@pandas_udf(DoubleType())
+def must_not_violation(answer: pd.Series, concept: pd.Series) -> pd.Series:
+    """Greatest sentence-concept score, cut to 15 % where negation differs; 1 if the concept is said."""
+    from .text import EN_STOPWORDS, NEGATION_MARKERS, VI_STOPWORDS
+
+    stop = {*VI_STOPWORDS, *EN_STOPWORDS}
+    norm = lambda s: " ".join((s or "").lower().split())
+    terms = lambda s: {t for t in _TOKEN.findall(s) if len(t) > 1 and t not in stop}
+    says_no = lambda s: any(m in s for m in NEGATION_MARKERS)
+
+    def one(a: str, c: str) -> float:
+        an, cn = norm(a), norm(c)
+        if not an or not cn:
+            return 0.0
+        if cn in an:
+            return 1.0
+        want, best = terms(cn), 0.0
+        for piece in _PIECE.split(a):
+            p = norm(piece)
+            if p:
+                score = max(len(want & terms(p)) / len(want) if want else 0.0, SequenceMatcher(None, p, cn).ratio())
+                best = max(best, score * (1.0 if says_no(p) == says_no(cn) else 0.15))
+        return best
+
+    return pd.Series([one(a, c) for a, c in zip(answer, concept, strict=True)])
+
+
+def _mean_over(rows: DataFrame, ids: str, concepts: str, score: Column, name: str) -> DataFrame:
+    """Scores of an answer's concepts as one array per row."""
+    at = rows.select(ids, "answer", F.posexplode(concepts).alias("i", "concept")).withColumn("s", F.round(score, 3))
+    return at.groupBy(ids).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias(name))
+
+
+def semantic_lite(rows: DataFrame, ids: str = "id") -> DataFrame:
+    """``rows(id, answer, ground_truth, must_have, must_not[, short_answer, answerability, top1_title_hit])`` with its scores.
+
+    Concept coverage .45, reference similarity .35 and retrieval .20, renormalised
+    over those there are; partial questions gain for saying so, others lose for a
+    false insufficiency; a violated claim costs .30. Passes at .60.
+    """
+    for c, kind in (("short_answer", "string"), ("answerability", "string"), ("top1_title_hit", "boolean")):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    have = _mean_over(rows, ids, "must_have", concept_overlap(F.col("answer"), F.col("concept")), "have")
+    bad = _mean_over(rows, ids, "must_not", must_not_violation(F.col("answer"), F.col("concept")), "bad")
+    at = rows.join(have, ids, "left").join(bad, ids, "left")
+    mean = F.when(F.size("have") > 0, F.aggregate("have", F.lit(0.0), lambda s, x: s + x) / F.size("have"))
+    at = at.withColumn("cover", mean).withColumn("similar", F.greatest(best_sentence_similarity(F.col("answer"), F.col("short_answer")), best_sentence_similarity(F.col("answer"), F.col("ground_truth"))))
+    violated = F.coalesce(F.exists("bad", lambda x: x >= 0.88), F.lit(False))
+    known = (blank(F.col("short_answer")) != "") | (blank(F.col("ground_truth")) != "")
+    weight = F.when(F.col("cover").isNotNull(), 0.45).otherwise(0.0) + F.when(known, 0.35).otherwise(0.0) + 0.20
+    base = (0.45 * F.coalesce("cover", F.lit(0.0)) + F.when(known, 0.35 * F.col("similar")).otherwise(0.0) + F.when(F.col("top1_title_hit"), 0.20).otherwise(0.0)) / weight
+    cue = negative_cue(F.col("answer"))
+    false_no = (F.coalesce("answerability", F.lit("")) != "partial_only") & cue & (F.coalesce("cover", F.lit(0.0)) >= 0.55)
+    score = base + F.when((F.col("answerability") == "partial_only") & cue, 0.08).otherwise(0.0) - F.when(false_no, 0.12).otherwise(0.0) - F.when(violated, 0.30).otherwise(0.0)
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    return at.withColumns({
+        "must_have_soft_coverage": F.round("cover", 3), "must_not_soft_violated": violated, "reference_similarity": F.round("similar", 3), "false_insufficiency_flag": false_no,
+        "semantic_lite_score": F.round(score, 3), "semantic_lite_pass": (score >= 0.60) & ~violated}).drop("have", "bad", "cover", "similar")
