@@ -128,7 +128,7 @@ def best_sentence_ratio(pieces: pd.Series, reference: pd.Series) -> pd.Series:
 
 
 def best_sentence_similarity(answer: Column, reference: Column) -> Column:
-    return best_sentence_ratio(sentence_chunks(answer), normalize_eval(reference))
+    return best_sentence_ratio(F.filter(F.transform(sentence_chunks(answer), lambda p: normalize_eval(p)), lambda p: p != ""), normalize_eval(reference))
 
 
 def token_coverage(answer: Column, concept: Column) -> Column:
