@@ -138,6 +138,10 @@ def _alternation(values: list[str]) -> str:
     return "|".join(sorted(values, key=len, reverse=True))
 
 
+#: A known heading anywhere, with any white space between its words.
+HEADING_WORDS = "(?:" + _alternation(MAJOR_HEADINGS).replace(" ", r"\s+") + ")"
+
+
 def plain_heading(line: Column) -> Column:
     """The known heading that a line consists of, or empty."""
     t = normalize_heading(line)

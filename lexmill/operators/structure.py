@@ -88,8 +88,12 @@ def markdown_sections(c: Column, deepest: int = 6) -> Column:
 
 def sections(c: Column) -> Column:
     """Markdown headings, else known headings on their own lines, else inline ones; an empty array without any."""
-    md, plain = markdown_sections(c), plain_sections(c)
-    return T.let(md, lambda a: F.when(F.size(a) > 0, a).otherwise(T.let(plain, lambda b: F.when(F.size(b) > 0, b).otherwise(inline_sections(c)))))
+    # one look at the whole text spares most documents the work on each line
+    none = F.array().cast(f"array<{SECTION}>")
+    marked = F.when(T.blank(c).rlike(r"(?m)^#{1,6}\s+\S"), markdown_sections(c)).otherwise(none)
+    named = T.let(plain_sections(c), lambda b: F.when(F.size(b) > 0, b).otherwise(inline_sections(c)))
+    known = F.when(T.blank(c).rlike(f"(?iu){T.HEADING_WORDS}"), named).otherwise(none)
+    return T.let(marked, lambda a: F.when(F.size(a) > 0, a).otherwise(known))
 
 
 def chunks(df: DataFrame, body: str = "body", title: str = "title", source: str = "source_name", updated: Column | None = None,
