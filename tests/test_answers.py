@@ -79,3 +79,13 @@ def test_semantic_lite(spark):
     df = spark.createDataFrame(rows, "id long, answer string, ground_truth string, must_have array<string>, must_not array<string>, top1_title_hit boolean")
     got = {r.id: r for r in S.semantic_lite(df).collect()}
     assert got[1].semantic_lite_score == 1.0 and got[1].semantic_lite_pass and not got[2].semantic_lite_pass and got[3].semantic_lite_score == 0.0
+
+
+def test_filter_chunks(spark):
+    from lexmill.operators import retrieval
+
+    good = "Patients in this clinical study got the treatment and the outcome was good. " * 3
+    rows = [(1, good, "Results", "A long enough title here", 0.8), (2, good, "References", "A long enough title here", 0.9), (3, "10.1234/a 10.5678/b", "", "A long enough title here", 0.9), (4, good, None, "x", 0.5)]
+    df = spark.createDataFrame(rows, "i int, text string, section_title string, title string, score double")
+    got = {r.i: round(r.score, 4) for r in retrieval.filter_chunks(df).collect()}
+    assert set(got) == {1, 4} and got[1] == 0.8 and got[4] == round(0.5 * (0.7 + 0.3 * 0.85), 4)
