@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Same set, as a regular expression for words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one vectorised step looks at.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -63,6 +64,18 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def parts(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """A string column as ranges (first row, end, texts as UTF-8) of about ``most`` bytes, so that few texts are Python objects at a time."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0))
+    lo, n = 0, len(sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    while lo < n:
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield lo, hi, utf8(column.slice(lo, hi - lo))
+        lo = hi
+
+
 def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in a buffer."""
     full = np.concatenate(([False], ~_SPACE[buf], [False]))
@@ -71,16 +84,25 @@ def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, by prefix sums of a polynomial over the whole buffer."""
+    """A 64-bit hash of each word, by prefix sums of a polynomial over a few MB at a time."""
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK_BYTES, side="right")))
+        at = starts[lo]
+        out[lo:hi] = _hash_words(buf[at : ends[hi - 1]], starts[lo:hi] - at, ends[lo:hi] - at)
+        lo = hi
+    return out
+
+
+def _hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     global _powers
     n = len(buf)
     if _powers is None or len(_powers[0]) < n + 1:
         size = max(n + 1, CHUNK_BYTES + 1)
         r = 0xD6E8FEB86659FD93
-        inv = pow(r, -1, 1 << 64)
-        one = np.ones(size, np.uint64)
-        up, down = one.copy(), one.copy()
-        up[1:], down[1:] = np.uint64(r), np.uint64(inv)
+        up, down = np.full(size, np.uint64(r)), np.full(size, np.uint64(pow(r, -1, 1 << 64)))
+        up[0] = down[0] = 1
         _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
     up, down = _powers
     sums = np.zeros(n + 1, np.uint64)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, utf8, word_bounds, word_hashes
+from .common import chunks, mix, parts, utf8, word_bounds, word_hashes
 
 #: log2 of the number of weights.
 BITS = 18
@@ -52,7 +52,7 @@ def features(texts: list[bytes], bits: int = BITS) -> Iterator[np.ndarray]:
         striple = mix(spair[:-1] * three + s[2:]) if len(s) > 2 else s[:0]
         grams = [(w >> shift, 0), (pair >> shift, 1), (s >> shift, 0), (spair >> shift, 1), (striple >> shift, 2)]
         for a, b in zip(first[:-1], first[1:], strict=True):
-            yield np.unique(np.concatenate([g[a : max(a, b - k)] for g, k in grams])).astype(np.int64)
+            yield np.unique(np.concatenate([g[a : max(a, b - k)] for g, k in grams])).astype(np.int32)
 
 
 class Ftrl:
@@ -118,7 +118,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [score_grams(g, w.value) for g in features(utf8(b.column(b.schema.names.index("__t"))))]
+            scores = [score_grams(g, w.value) for _, _, texts in parts(b.column(b.schema.names.index("__t"))) for g in features(texts)]
             rest = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n != "__t"]
             yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(scores, pa.float64())], [n for n, _ in rest] + [name])
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, cut, key_of, utf8
+from .common import Forest, cut, key_of, parts
 from .components import components
 
 
@@ -50,7 +50,7 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle) for _, _, texts in parts(batch.column(1)) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["__id", "__fp"])
 
     return run

@@ -13,6 +13,7 @@ number of times costs one string per map task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, key_of, mix, runs, shuffle_partitions, utf8, word_bounds, word_hashes
+from .common import key_of, mix, parts, runs, shuffle_partitions, word_bounds, word_hashes
 
 #: Bytes of distinct packed strings that a map task holds before it sends them on.
-HOLD_BYTES = 32 << 20
+HOLD_BYTES = 24 << 20
 _MM = 3
 _PACKED = "bucket int, docs binary, marks binary, starts binary, ends binary, words binary"
 _SPANS = "__d long, __m long, __s int, __e int"
@@ -38,19 +39,19 @@ def _pack(window: int, buckets: int):
         )
 
     def flush(seen: dict, again: list, late: list) -> Iterator[pa.RecordBatch]:
-        by: dict[int, tuple[list, list]] = {}
-        for s, (d, m, p, e, b) in [*seen.items(), *again]:
-            x = by.setdefault(b, ([], []))
-            x[0].append((d, m, p, e))
-            x[1].append(s)
-        rows = [row(b, *x) for b, x in by.items()]
-        for i in range(0, len(late), 4096):
-            rows.append(row((late[i][0] + i) % buckets, late[i : i + 4096], None))
         names = [x.split()[0] for x in _PACKED.split(", ")]
         kinds = [pa.int32()] + [pa.binary()] * 5
-        for i in range(0, len(rows), 2000):
-            part = list(zip(*rows[i : i + 2000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(part, kinds, strict=True)], names)
+
+        def rows() -> Iterator[tuple]:
+            for i in range(0, len(late), 4096):
+                yield row((late[i][0] + i) % buckets, late[i : i + 4096], None)
+            sent = sorted([*seen.items(), *again], key=lambda x: x[1][4])
+            for _, same in groupby(sent, key=lambda x: x[1][4]):
+                same = list(same)
+                yield row(same[0][1][4], [x[:4] for _, x in same], [w for w, _ in same])
+
+        for part in batched(rows(), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple] = {}
@@ -58,9 +59,9 @@ def _pack(window: int, buckets: int):
         late: list[tuple] = []
         held = 0
         for batch in batches:
-            docs, marks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))
-            for lo, hi in chunks(texts):
-                plain = [b" ".join(t.split()) for t in texts[lo:hi]]
+            docs, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, hi, texts in parts(batch.column(2)):
+                plain = [b" ".join(t.split()) for t in texts]
                 whole = b"\n".join(plain)
                 buf = np.frombuffer(whole, np.uint8)
                 starts, ends = word_bounds(buf)
@@ -209,28 +210,28 @@ def _keep(text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            texts = utf8(batch.column(names.index(text_col)))
-            spans = batch.column(names.index("__spans")).to_pylist()
-            total, gone, kept = [], [], []
-            for t, sp in zip(texts, spans, strict=True):
-                words = t.split()
-                total.append(len(words))
-                if not sp:
-                    gone.append(0)
-                    kept.append(b" ".join(words).decode())
-                    continue
-                drop = np.zeros(len(words) + 1, np.int32)
-                for x in sp:
-                    drop[x["__s"]] += 1
-                    drop[x["__e"]] -= 1
-                stay = np.flatnonzero(np.cumsum(drop[:-1]) == 0).tolist()
-                gone.append(len(words) - len(stay))
-                kept.append(b" ".join([words[i] for i in stay]).decode())
-            rest = [(n, c) for n, c in zip(names, batch.columns, strict=True) if n != "__spans"]
-            yield pa.RecordBatch.from_arrays(
-                [*[c for _, c in rest], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                [*[n for n, _ in rest], "__n", "__r", "__kept"],
-            )
+            for lo, hi, texts in parts(batch.column(names.index(text_col))):
+                some = batch.slice(lo, hi - lo)
+                total, gone, kept = [], [], []
+                for t, sp in zip(texts, some.column(names.index("__spans")).to_pylist(), strict=True):
+                    words = t.split()
+                    total.append(len(words))
+                    if not sp:
+                        gone.append(0)
+                        kept.append(b" ".join(words).decode())
+                        continue
+                    drop = np.zeros(len(words) + 1, np.int32)
+                    for x in sp:
+                        drop[x["__s"]] += 1
+                        drop[x["__e"]] -= 1
+                    stay = np.flatnonzero(np.cumsum(drop[:-1]) == 0).tolist()
+                    gone.append(len(words) - len(stay))
+                    kept.append(b" ".join([words[i] for i in stay]).decode())
+                rest = [(n, c) for n, c in zip(names, some.columns, strict=True) if n != "__spans"]
+                yield pa.RecordBatch.from_arrays(
+                    [*[c for _, c in rest], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+                    [*[n for n, _ in rest], "__n", "__r", "__kept"],
+                )
 
     return run
 
@@ -249,7 +250,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"window must be {_MM} or more")
     spark = docs.sparkSession
     keyed = docs.withColumns({"__d": key_of(id_col), "__m": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    buckets = 4 * shuffle_partitions(spark)
+    buckets = 8 * shuffle_partitions(spark)
     packed = keyed.select("__d", "__m", text_col).mapInArrow(_pack(window, buckets), _PACKED)
     spans = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(window), _SPANS)
     gone = spans.groupBy("__d", "__m").agg(F.collect_list(F.struct("__s", "__e")).alias("__spans"))
