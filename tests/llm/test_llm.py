@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, components, embed_dedup, html_extract, media, mixing, quality, sentencepiece, sharding, simhash, substring_dedup
+from lexmill.llm import chat, components, embed_dedup, html_extract, media, mixing, near_dedup, quality, sentencepiece, sharding, simhash, substring_dedup
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, __x string, score double, shard int"
@@ -137,6 +137,44 @@ def test_keep_one_keeps_a_repeated_row_once(spark, odd):
     assert len(kept) == len(set(kept)) and 1 in kept and 2 not in kept
 
 
+def brute_shingles(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute_jaccard(rows):
+    s = {i: brute_shingles(t) for i, t in rows}
+    return brute_components(list(s), lambda a, b: s[a] == s[b] or 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b]))
+
+
+def test_pipeline_near_dedup_against_brute_jaccard(spark, odd):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    rows = []
+    for b in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([30, 200, 900]))] + ["all rights reserved by the owner of this text"] * 2
+        for c in range(8):
+            w = list(base)
+            for _ in range(rng.randrange(0, 1 + len(w) // 25)):
+                w[rng.randrange(len(w))] = f"new{rng.random()}"
+            rows.append((100 * b + c, " ".join(w), "s"))
+    want = brute_jaccard([(i, t) for i, t, _ in rows])
+    s = {i: brute_shingles(t) for i, t, _ in rows}
+    assert any(want[a] == want[b] and 5 * len(s[a] & s[b]) < 4 * len(s[a] | s[b]) for a in s for b in s)  # some hang together by a chain only
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, rows), DATA)
+    assert kept.columns == docs(spark, rows).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    want = brute_jaccard([(r.doc_id, r.text) for r in d.collect()])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, d, DATA).collect()) == sorted(set(want.values()))
+    assert len(np.union1d(*near_dedup.shingle_sets([b"a b c d e", b"b a c d e"]))) == 2
+    least = -(1 << 63)
+    want = brute_jaccard({least if r.doc_id is None else r.doc_id: r.text for r in odd.collect()}.items())
+    got = sorted(least if r.doc_id is None else r.doc_id for r in corpus_pipeline.near_dedup(spark, odd, DATA).collect())
+    assert got == sorted(set(want.values()))
+    assert corpus_pipeline.near_dedup(spark, odd.limit(0), DATA).count() == 0
+
+
 @pytest.mark.parametrize("edges", [[], [(5, 5)], [(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 100)] + [(500, 501)]])
 def test_components(spark, edges):
     df = spark.createDataFrame(edges, "a long, b long")
