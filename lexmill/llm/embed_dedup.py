@@ -4,7 +4,9 @@ Each pass gives a vector a key of concatenated random hyperplane signs and
 sorts all vectors by it; vectors that are neighbours within a bounded window
 are compared exactly, and verified pairs are united across passes. The number
 of passes follows from the number of vectors, so that recall at the threshold
-stays the same at any size. Groups found this way are then completed: within
+stays the same at any size. Where more vectors than the window share a key's
+leading signs, as in a cone of vectors, all of that run are compared block by
+block, so recall doesn't depend on how the vectors lie either. Groups found this way are then completed: within
 each, every vector is compared with every other block by block, so a vector's
 links aren't limited by the window.
 """
@@ -27,19 +29,25 @@ THRESHOLD = 0.9
 WINDOW = 64
 #: Wanted chance that a pair at the threshold is found.
 RECALL = 0.99
-#: Vectors in a block when a group is completed.
+#: Vectors in a block when a group is completed, and when a long run is compared.
 BLOCK = 512
+RUN_BLOCK = 2048
 _BITS = 63
 
 
+def run_bits(n: int, window: int = WINDOW) -> int:
+    """Leading signs that leave ``window`` vectors or fewer in a run, if they are spread evenly."""
+    return min(_BITS, max(0, math.ceil(math.log2(max(n, 1) / window))))
+
+
 def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
     """Passes that find a pair at the threshold with chance ``recall`` among n vectors.
 
     Two vectors share a random sign with chance 1 - angle / pi, and are
-    neighbours if they share the first log2(n / window) signs.
+    compared if they share the leading signs that make a run.
     """
     same = 1 - math.acos(threshold) / math.pi
-    hit = same ** max(0.0, math.log2(max(n, 1) / window))
+    hit = same ** run_bits(n, window)
     return max(4, math.ceil(math.log(1 - recall) / math.log(max(1e-12, 1 - hit)))) if hit < 1 else 4
 
 
@@ -94,9 +102,13 @@ def _compare(ids: list[int], x: np.ndarray, threshold: float, window: int) -> li
         ok = (j > i) & (j - i <= window)
         for s, t in zip((i[ok] + lo).tolist(), (j[ok] + lo).tolist(), strict=True):
             forest.union(s, t)
+    return _edges(ids, forest)
+
+
+def _edges(ids: list[int], forest: Forest) -> list[tuple[int, int]]:
     last: dict[int, int] = {}
     out = []
-    for i in range(n):
+    for i in range(len(ids)):
         r = forest.find(i)
         if r in last:
             out.append((ids[last[r]], ids[i]))
@@ -163,6 +175,51 @@ def _borders(threshold: float, window: int):
     return run
 
 
+def _block_links(threshold: float):
+    """Links between two blocks of a long run, or inside one; block pairs arrive sorted."""
+
+    def settle(held: list[tuple]) -> pa.RecordBatch:
+        a = [r for r in held if r[4] == r[2]]
+        b = a if held[0][2] == held[0][3] else [r for r in held if r[4] == r[3]]
+        out: list[tuple[int, int]] = []
+        if a and b:
+            x, y = (np.frombuffer(b"".join(r[6] for r in z), "<f8").reshape(len(z), -1) for z in (a, b))
+            both = a if b is a else a + b
+            forest, off = Forest(len(both)), 0 if b is a else len(a)
+            for lo in range(0, len(a), 256):
+                i, j = np.nonzero(x[lo : lo + 256] @ y.T >= threshold)
+                for s, t in zip((i + lo).tolist(), (j + off).tolist(), strict=True):
+                    forest.union(s, t)
+            out = _edges([r[5] for r in both], forest)
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[:4] != now:
+                    if held:
+                        yield settle(held)
+                    now, held = r[:4], []
+                held.append(r)
+        if held:
+            yield settle(held)
+
+    return run
+
+
+def _long_runs(keys: DataFrame, bits: int, threshold: float, window: int) -> DataFrame:
+    """Edges from comparing all vectors of each run that exceeds the window."""
+    keys = keys.withColumn("run", F.shiftrightunsigned("key", _BITS - bits) if bits else F.lit(0).cast("long"))
+    sizes = cut(keys.groupBy("p", "run").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > window))
+    placed = keys.join(sizes, ["p", "run"]).withColumn("blocks", F.ceil(F.col("size") / RUN_BLOCK).cast("int"))
+    placed = placed.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("blk", o).alias("i"), F.greatest("blk", o).alias("j")))
+    placed = placed.select("p", "run", F.explode(pairs).alias("q"), "blk", "id", "v").select("p", "run", F.col("q.i").alias("i"), F.col("q.j").alias("j"), "blk", "id", "v")
+    sorted_ = placed.repartition("p", "run", "i", "j").sortWithinPartitions("p", "run", "i", "j", "blk", "id")
+    return sorted_.mapInArrow(_block_links(threshold), "a long, b long")
+
+
 def _block_counts(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -216,7 +273,8 @@ def link_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     ordered = keys.repartitionByRange("p", "key", "id").sortWithinPartitions("p", "key", "id")
     found = cut(ordered.mapInArrow(_windows(threshold, window), "s long, p long, key long, id long, v binary, a long, b long"))
     across = found.where("s is not null").groupBy("s", "p").applyInArrow(_borders(threshold, window), "a long, b long")
-    group = cut(components(found.where("a is not null").select("a", "b").unionByName(across)))
+    whole = _long_runs(keys, run_bits(n, window), threshold, window)
+    group = cut(components(found.where("a is not null").select("a", "b").unionByName(across).unionByName(whole)))
     sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     # each member meets every block of its group once: as the left side for later blocks, the right side for earlier ones
     spread = F.ceil(F.col("size") / BLOCK).cast("int")

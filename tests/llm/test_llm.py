@@ -227,6 +227,25 @@ def test_embedding_recall_with_narrow_windows(spark):
     assert 0.9 * want <= got <= want
 
 
+def cone(n, planted, cosine, seed):
+    """n isotropic and n // 2 cone vectors; in the cone, ``planted`` pairs of cosine 0.905."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    axis = unit(rng.standard_normal(64))
+    near = unit(math.sqrt(cosine) * axis + math.sqrt(1 - cosine) * unit(rng.standard_normal((n // 2, 64))))
+    off = rng.standard_normal((planted, 64))
+    off = unit(off - (off * near[:planted]).sum(1, keepdims=True) * near[:planted])
+    return np.vstack([unit(rng.standard_normal((n, 64))), near, 0.905 * near[:planted] + math.sqrt(1 - 0.905**2) * off]), n
+
+
+def test_embedding_recall_in_a_cone(spark):
+    x, n = cone(4000, 300, 0.8, 6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in embed_dedup.link_groups(df, window=16).collect()}
+    found = sum(got[n + i] == got[n + n // 2 + i] for i in range(300))
+    assert found >= 0.97 * 300, found
+
+
 def test_passes_grow_with_the_table():
     assert embed_dedup.passes_for(500) <= embed_dedup.passes_for(50_000) <= embed_dedup.passes_for(10**9) < 2000
 
