@@ -57,9 +57,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    rows = chat.records_of(read(spark, sf_dir, "conversations"))
+    rows = chat.format_rows(read(spark, sf_dir, "conversations"))
     one = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"))
-    out = chat.format_chats(rows.unionByName(one))
+    out = rows.unionByName(chat.format_chats(one).drop("record"))
     back, loss = chat.parse(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("loss_spans"))
     said_all = F.array_join(F.transform("__back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", "formatted", back.alias("__back"), loss.alias("__loss")).select(

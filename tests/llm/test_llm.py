@@ -432,6 +432,19 @@ def test_records_of_rows(spark):
     assert chat.format_chats(chat.records_of(df.limit(0))).count() == 0
 
 
+def test_long_texts_are_formatted(spark, tmp_path):
+    from lexmill.llm import queries
+
+    long = 21_000_000
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    rows = rows.withColumn("text", F.when(F.col("text") == "a", F.repeat(F.lit("a"), long)).otherwise(F.col("text")))
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.n_turns, r.loss_chars, r.loss_sha256) for r in queries.op9_chat_formatting(spark, str(tmp_path)).collect()}
+    assert got[1] == (2, long, hashlib.sha256(b"a" * long).hexdigest()) and got[2][:2] == (1, 1) and set(got) == {-1, 1, 2}
+    with pytest.raises(Exception, match="can't be parsed"):
+        chat.format_chats(chat.records_of(rows)).select(F.size("turns")).collect()
+
+
 # ---------------------------------------------------------------------- mixing
 def brute_targets(sizes, weights=(1, 2, 3)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
