@@ -89,3 +89,17 @@ def test_filter_chunks(spark):
     df = spark.createDataFrame(rows, "i int, text string, section_title string, title string, score double")
     got = {r.i: round(r.score, 4) for r in retrieval.filter_chunks(df).collect()}
     assert set(got) == {1, 4} and got[1] == 0.8 and got[4] == round(0.5 * (0.7 + 0.3 * 0.85), 4)
+
+
+def test_semantic_lite_is_answered_by_the_best_hit(spark, tmp_path):
+    from lexmill.plans import load, registry
+
+    load()
+
+    said = "zebra giraffe elephant walks slowly over the wide savanna plain"
+    far = "Other words first. " * 100 + said + "."
+    spark.createDataFrame([(1, said), (2, "qqqq wwww rrrr")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "nothing of it here at all"), (7, "zebra giraffe elephant savanna notes\n" + far)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r for r in registry.QUERIES["c18_semantic_lite"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2} and got[1].must_have_soft_coverage == 1.0 and got[1].reference_similarity > 0.95 and got[2].semantic_lite_score == 0.0
