@@ -115,6 +115,29 @@ def h01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "s.title", F.md5("s.body").alias("body_md5"))
 
 
+# the same over whole bodies, with their own headings and blank first lines; held against brute force in tests
+def _sections_of(spark: SparkSession, sf_dir: str, found) -> DataFrame:
+    s = records(spark, sf_dir).select("doc_id", F.posexplode(found).alias("pos", "s"))
+    return s.select("doc_id", "pos", "s.level", "s.title", "s.heading_path", F.md5("s.body").alias("body_md5"))
+
+
+@register("x01_markdown_sections_whole")
+def x01_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat_ws("\n", F.lit("# One"), F.substring("body", 1, 50), F.lit("### Deep"), F.lit("x"), F.lit("## Two"), F.expr("substring(body, 51)"))
+    return _sections_of(spark, sf_dir, structure.sections(text))
+
+
+@register("x02_inline_sections_whole")
+def x02_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat_ws("\n", F.lit("intro"), F.concat(F.lit("1. Kết quả: "), F.substring("body", 1, 40)), F.expr("substring(body, 41)"), F.lit("KẾT LUẬN  xong"))
+    return _sections_of(spark, sf_dir, structure.inline_sections(text))
+
+
+@register("h01_plain_sections_whole")
+def h01_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sections_of(spark, sf_dir, structure.plain_sections(F.concat_ws("\n", F.lit("ABSTRACT:"), "body", F.lit("References"), F.lit("1. x"))))
+
+
 @register("w06_paragraph_packing")
 def w06(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.filter(F.split("body", "\n"), lambda x: F.trim(x) != "")

@@ -295,3 +295,49 @@ def test_every_query_is_whole_and_equals_its_sql(spark):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def _bodies():
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{SF}/documents.parquet").to_pydict()
+    return {i: x or "" for i, x in zip(t["doc_id"], t["text"], strict=True)}
+
+
+def _md5(x):
+    import hashlib
+
+    return hashlib.md5(x.encode()).hexdigest()
+
+
+def test_sections_of_whole_bodies(spark):
+    import re
+
+    bodies, ws = _bodies(), " \t\n\x0b\x0c\r"
+    got = {}
+    for name in ("x01_markdown_sections_whole", "x02_inline_sections_whole", "h01_plain_sections_whole"):
+        for r in entry.queries()[name](spark, SF).orderBy("doc_id", "pos").collect():
+            got.setdefault((name[:3], r.doc_id), []).append((r.level, r.title, r.heading_path, r.body_md5))
+    plain = 0
+    for i, b in bodies.items():
+        lines = f"# One\n{b[:50]}\n### Deep\nx\n## Two\n{b[50:]}".split("\n")
+        want, stack = [], []
+        for x in lines:
+            m = re.fullmatch(r"(#{1,6})[ \t\x0b\f\r]+([^\r\u0085\u2028\u2029]+)\r?", x)
+            if m:
+                stack = [*stack[: len(m[1]) - 1], m[2].strip(" ")]
+                want.append([len(m[1]), m[2].strip(" "), " > ".join(stack), []])
+            else:
+                want[-1][3].append(x)
+        assert got["x01", i] == [(a, t, p, _md5("\n".join(z).strip(ws))) for a, t, p, z in want], i
+        if re.search(T.HEADING_WORDS, b, re.I):
+            continue
+        plain += 1
+        own = lambda s: "\n".join(re.split(r"\r\n|\r|\n", s))
+        want = [("ABSTRACT", own(b).strip(ws)), ("REFERENCES", "1. x")]
+        assert got["h01", i] == [(1, t, t, _md5(z)) for t, z in want if z], i
+        first, *others = own(b[:40]).split("\n")
+        rest = "\n".join([" ".join(first.split()), *others, own(b[40:])]).strip(ws)
+        want = [("KẾT QUẢ", rest)] * bool(first.strip()) + [("KẾT LUẬN", "xong")]
+        assert got["x02", i] == [(1, t, t, _md5(z)) for t, z in want], i
+    assert plain > 100
