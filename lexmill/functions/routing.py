@@ -209,7 +209,7 @@ def decompose(query: Column, most: int = 3) -> Column:
     def add(acc: Column, p: Column) -> Column:
         mine = F.array_distinct(words(F.lower(p)))
         known = F.exists(acc, lambda e: F.size(F.array_intersect(mine, words(F.lower(e)))) / F.greatest(F.size(mine), F.lit(1)) > 0.7)
-        return F.when(known, acc).otherwise(F.concat(acc, F.array(p)))
+        return F.when(known | (F.size(acc) >= most), acc).otherwise(F.concat(acc, F.array(p)))
 
     kept = F.slice(F.aggregate(long, F.array().cast("array<string>"), add), 1, most)
     return F.when((F.size(words(query)) <= 10) | (F.size(long) == 0), F.array(query)).otherwise(kept)

@@ -36,6 +36,18 @@ _BANNER = r"coalesce(len(regexp_replace(l, '[^\p{Lu}]', '', 'g')) / nullif(len(r
 scalar("t39_extractive", {"value": (lambda: V.extractive(_TEXT()), f"array_to_string(list_filter(list_transform(regexp_split_to_array({_TEXT_SQL}, '\\r\\n|\\r|\\n'), lambda l: {sq('l')}), lambda l: l <> '' AND NOT regexp_matches(l, '^(Title:|Source:|Audience:|Body:|Hình )') AND NOT {_BANNER}), ' ')")})
 scalar("t37_sentences", {"n": (lambda: F.size(V.sentences(_TEXT())), rf"len(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace({_TEXT_SQL}, '\n', ' ', 'g'), '([.?!])\s+', '\1' || chr(10), 'g'), '\n+'), lambda l: regexp_replace({sq('l')}, '^[ \-]+|[ \-]+$', '', 'g')), lambda l: len(l) >= 30))")})
 scalar("h27_dense_table", {"value": (lambda: V.dense_table(_TEXT()), f"len(regexp_replace({_TEXT_SQL}, '[^\\p{{Nd}}]', '', 'g')) >= 12 OR " + " OR ".join(f"contains({fold(_TEXT_SQL)}, '{m}')" for m in V.DENSE))})
+
+
+@register("t36_t39_h27_evidence_whole")
+def evidence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T36, T37, T39 and H27 over whole bodies; held against brute force in tests."""
+    text = F.concat_ws("\n", "body", _pick(STATS))
+    found = F.array_join(F.transform(V.numbers(text), lambda x: F.concat_ws("=", x["metric"], x["value"])), "|")
+    return records(spark, sf_dir).select(
+        "doc_id", found.alias("numbers"), V.sample_size(text).alias("sample_size"), F.size(V.sentences(text)).alias("sentences"),
+        F.md5(V.extractive(text)).alias("extractive_md5"), V.dense_table(text).alias("dense_table"))
+
+
 scalar("h30_sentence_candidate", {"value": (lambda: V.sentence_candidate(F.col("title")), r"len(trim(title)) >= 60 AND len(list_filter(regexp_split_to_array(trim(title), '\s+'), lambda w: w <> '')) >= 8 AND NOT regexp_matches(trim(title), '^[a-zà-ỹ]') AND NOT regexp_matches(trim(title), '(?i)^(và|hoặc|nhưng|cũng|đồng thời|chỉ|tuy nhiên)([^\p{L}\p{N}_]|$)')")})
 scalar("t63_uppercase_title", {"value": (lambda: V.uppercase_title(F.when(F.col("doc_id") % 3 == 0, F.upper("title")).otherwise(F.col("title"))), r"len(regexp_replace(x, '[^\p{L}]', '', 'g')) >= 15 AND len(regexp_replace(x, '[^\p{Lu}]', '', 'g')) / greatest(len(regexp_replace(x, '[^\p{L}]', '', 'g')), 1) >= 0.65".replace("x,", "CASE WHEN doc_id % 3 = 0 THEN upper(title) ELSE title END,"))})
 _NUM = "'1, 5 and 2. 7 x, y ' || doc_id || ', 3'"

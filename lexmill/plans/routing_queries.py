@@ -73,11 +73,11 @@ def h14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("c25_decompose")
 def c25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.substring(F.regexp_replace("body", r"\s+", " "), 1, 300)
+    text = F.regexp_replace("body", r"\s+", " ")
     return records(spark, sf_dir).select("doc_id", F.posexplode(R.decompose(text)).alias("pos", "subquery"))
 
 
-# answers: a document's start answers for the concept that the next words give
+# answers: what follows a document's first signs answers for the concept that its title gives
 _COV = f"(CASE WHEN len(list_filter(list_distinct({tokens('title')}), lambda v: len(v) > 1 AND NOT list_contains({quoted([*T.VI_STOPWORDS, *T.EN_STOPWORDS])}, v))) = 0 THEN 0.0 ELSE len(list_intersect(list_filter(list_distinct({tokens('title')}), lambda v: len(v) > 1 AND NOT list_contains({quoted([*T.VI_STOPWORDS, *T.EN_STOPWORDS])}, v)), list_distinct({tokens('substring(body, 50, 600)')}))) / len(list_filter(list_distinct({tokens('title')}), lambda v: len(v) > 1 AND NOT list_contains({quoted([*T.VI_STOPWORDS, *T.EN_STOPWORDS])}, v))) END)"
 
 
@@ -86,14 +86,22 @@ def c15t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("doc_id", S.token_coverage(F.substring("body", 50, 600), F.col("title")).alias("coverage"))
 
 
+@register("c15_t68_t70_coverage_whole")
+def coverage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C15, T68 and T70 of the title in all that follows its start; held against brute force in tests."""
+    rest = F.expr("substring(body, 50)")
+    return records(spark, sf_dir).select(
+        "doc_id", S.token_coverage(rest, F.col("title")).alias("coverage"), T.phrase_present(F.col("title"), rest).alias("present"), T.lexical_coverage(F.col("title"), rest).alias("lexical"))
+
+
 @register("c15_concept_overlap")
 def c15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select("doc_id", F.round(S.concept_overlap(F.substring("body", 50, 600), F.col("title")), 3).alias("overlap"))
+    return records(spark, sf_dir).select("doc_id", F.round(S.concept_overlap(F.expr("substring(body, 50)"), F.col("title")), 3).alias("overlap"))
 
 
 @register("c16_best_sentence")
 def c16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select("doc_id", F.round(S.best_sentence_similarity(F.substring("body", 50, 600), F.col("title")), 6).alias("best"))
+    return records(spark, sf_dir).select("doc_id", F.round(S.best_sentence_similarity(F.expr("substring(body, 50)"), F.col("title")), 6).alias("best"))
 
 
 @register("c18_semantic_lite")

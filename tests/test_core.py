@@ -341,3 +341,37 @@ def test_sections_of_whole_bodies(spark):
         want = [("KẾT QUẢ", rest)] * bool(first.strip()) + [("KẾT LUẬN", "xong")]
         assert got["x02", i] == [(1, t, t, _md5(z)) for t, z in want], i
     assert plain > 100
+
+
+def test_evidence_of_whole_bodies(spark):
+    import re
+
+    from lexmill.functions import evidence as V
+    from lexmill.plans.evidence_queries import STATS
+
+    bodies = _bodies()
+    rows = entry.queries()["t36_t39_h27_evidence_whole"](spark, SF).collect()
+    assert len(rows) == len(bodies) and max(r.sentences for r in rows) > 20
+    for r in rows:
+        t = bodies[r.doc_id] + "\n" + STATS[r.doc_id % len(STATS)]
+        assert r.numbers == "|".join(f"{m}={v}" for m, p in V.METRICS for v in re.findall("(?i)" + p, t, re.A)), r.doc_id
+        flat = re.sub(r"(?<!\n)\n(?!\n)", " ", t)
+        parts = [re.sub(r"^[ \-]+|[ \-]+$", "", " ".join(x.split())) for x in re.split(r"(?<=[.?!])\s+|\n+", flat)]
+        assert r.sentences == sum(len(x) >= 30 and not any(f in x.lower() for f in V.FRAGMENTS) for x in parts), r.doc_id
+    low = {r.doc_id: r for r in entry.queries()["c15_t68_t70_coverage_whole"](spark, SF).collect()}
+    for i, b in bodies.items():
+        words = b.split("\n")[0][:80].split()
+        if words and all(re.fullmatch("[a-z]{2,}", w) for w in words) and set(words) <= set(re.findall("[a-z]+", b[49:])):
+            assert low[i].present and low[i].lexical == 1.0, i
+
+
+def test_slices_are_gone(spark, tmp_path):
+    body = "alpha beta gamma delta\n" + "filler words stand here. " * 60 + "Then alpha beta gamma delta"
+    spark.createDataFrame([(1, body, "en", "s", len(body))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    q = lambda n: entry.queries()[n](spark, str(tmp_path)).collect()
+    assert q("c15_concept_overlap")[0].overlap == 1.0 and q("c16_best_sentence")[0].best > 0.8
+    assert q("c15_t68_t70_coverage_whole")[0][1:] == (1.0, True, 1.0)
+    body = "short one here, " * 40 + "and a wholly different question far behind the start"
+    spark.createDataFrame([(1, body, "en", "s", len(body))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/far/documents.parquet")
+    got = [r.subquery for r in entry.queries()["c25_decompose"](spark, f"{tmp_path}/far").collect()]
+    assert got[-1].endswith("far behind the start")
