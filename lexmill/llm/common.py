@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _powers: tuple[np.ndarray, np.ndarray] | None = None
+_own_folder: str | None = None
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,17 +30,60 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept by a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``; only a session without it (tests) gets a local one.
+    Only a session on one machine may lack it (tests): it gets a folder that goes with the process.
     """
+    global _own_folder
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
+    return _own_folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept by a reliable checkpoint in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def column(name: str) -> F.Column:
+    """The column of exactly this name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def beside(names: Iterable[str], outputs: Iterable[str]) -> list[str]:
+    """``names``, those that equal an output's name (case ignored) with ``_input`` behind them."""
+    names, own = list(names), {o.lower() for o in outputs}
+    taken, out = own | {n.lower() for n in names}, []
+    for n in names:
+        if n.lower() in own:
+            n += "_input"
+            while n.lower() in taken:
+                n += "_"
+            taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def packed(names: list[str], outputs: Iterable[str] = ()) -> F.Column:
+    """These columns as one struct ``r``, so that no name in it can meet a name of the operator's own."""
+    return F.struct(*[column(n).alias(m) for n, m in zip(names, beside(names, outputs), strict=True)]).alias("r")
+
+
+def row_hash(df: DataFrame) -> F.Column:
+    """A hash of a row's values; maps and variants, which have no hash, don't count."""
+    return F.xxhash64(*[column(f.name) for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))], F.lit(0))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -144,6 +190,24 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def key_of(column: str) -> F.Column:
-    """A 64-bit id that stands for null by the least long."""
-    return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)))
+def key_of(name: str) -> F.Column:
+    """A 64-bit id that stands for null by the least long. Ids are integers; a text that is none fails the cast."""
+    return F.coalesce(column(name).cast("long"), F.lit(-(1 << 63)))
+
+
+def identity(docs: DataFrame, id_col: str, text_col: str) -> list[F.Column]:
+    """(k, s, z, o): what tells a row from others: its id, 120 bits of its text's MD5, and a hash of all its columns."""
+    digest = F.md5(F.coalesce(column(text_col), F.lit("")))
+    half = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
+    return [key_of(id_col).alias("k"), half(1).alias("s"), half(16).alias("z"), row_hash(docs).alias("o")]
+
+
+def keep_least(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each label ``c`` of ``labelled(k, s, z, o, c)``: the least by id, text and the rest.
+
+    Rows with a null id or a shared one are told apart by their texts; rows that
+    are equal in all columns are one.
+    """
+    least = labelled.groupBy("c").agg(F.min(F.struct("k", "s", "z", "o")).alias("w")).select("w.*")
+    rows = docs.select(packed(docs.columns), *identity(docs, id_col, text_col))
+    return rows.join(least, ["k", "s", "z", "o"], "left_semi").dropDuplicates(["k", "s", "z", "o"]).select("r.*")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, cut, runs
+from .common import Forest, column, cut, key_of
 from .components import components
 
 THRESHOLD = 0.9
@@ -32,6 +32,8 @@ RECALL = 0.99
 #: Vectors in a block when a group is completed, and when a long run is compared.
 BLOCK = 512
 RUN_BLOCK = 2048
+#: Copies of a vector's results that its rows are dealt to.
+SALTS = 8
 _BITS = 63
 
 
@@ -56,19 +58,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Usable vectors as unit vectors in double precision."""
+    """Vectors as unit vectors in double precision; null what can't be used."""
     for b in batches:
-        ids, out = [], []
-        for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if i is None or not v or any(x is None for x in v):
-                continue
-            x = np.array(v, np.float64)
-            if not np.isfinite(x).all() or not x.any():
+        out: list[bytes | None] = []
+        for v in b.column(1).to_pylist():
+            x = None if not v or any(c is None for c in v) else np.array(v, np.float64)
+            if x is None or not np.isfinite(x).all() or not x.any():
+                out.append(None)
                 continue
             x = x / np.abs(x).max()
-            ids.append(i)
             out.append((x / np.sqrt(x @ x)).astype("<f8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "v"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "v"])
 
 
 def _signs(passes: int, seed: int):
@@ -260,13 +260,17 @@ def link_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
     Cosines are taken in double precision. Vectors that are null, empty, zero or
     hold a null or non-finite component, and those of another length, link with
-    nothing. Equal vectors are compared once and linked by count. Rows must have
-    distinct ids; a null id is returned with no links and a null component. An
-    empty table gives an empty result.
+    nothing. Equal vectors are compared once and linked by count. Ids are
+    integers; each row, also one with a repeated or a null id, is a vector of
+    its own and gives one row. A null id counts as the least long in
+    component_id. An empty table gives an empty result; other columns aren't
+    looked at.
     """
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    base = vectors.select(key_of(id_col).alias("id"), column(vector_col).alias("v"))
     unit = base.mapInArrow(_normalise, "id long, v binary")
-    same = cut(unit.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")))
+    usable = unit.where("v is not null")
+    # equal vectors are one, with a number of its own in the graph, since ids may repeat
+    same = cut(usable.groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("w")).withColumn("rep", F.monotonically_increasing_id()))
     n = same.count()
     k = passes or passes_for(n, threshold, window)
     keys = same.select(F.col("rep").alias("id"), "v").mapInArrow(_signs(k, seed), "p long, key long, id long, v binary")
@@ -284,9 +288,14 @@ def link_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     placed = placed.select("component", F.col("q.i").alias("i"), F.col("q.j").alias("j"), "blk", "id", "v", "w")
     counts = placed.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "blk", "id").mapInArrow(_block_counts(threshold), "id long, n long")
     counts = counts.groupBy("id").agg(F.sum("n").alias("others"))
-    reps = same.join(counts, same.rep == counts.id, "left").drop("id").join(group, same.rep == group.node, "left").select(
-        "v", (F.coalesce("others", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = unit.join(reps, "v").select(F.col("id").alias("lid"), "n_links", "component_id")
-    return base.select("id").join(linked, base.id == linked.lid, "left").select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("component_id", "id") == F.col("id")).alias("kept"))
+    reps = same.select("rep", "least", "w", F.md5("v").alias("name")).join(counts, same.rep == counts.id, "left").drop("id").join(group, same.rep == group.node, "left").select(
+        "name", "least", (F.coalesce("others", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "rep").alias("c"))
+    reps = reps.join(reps.groupBy("c").agg(F.min("least").alias("first")), "c")
+    # rows of one vector may be a third of all, so each is dealt to one of SALTS copies of its vector's results
+    dealt = reps.select("name", "links", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = unit.select("id", F.md5("v").alias("own"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("at"))
+    null_id = F.col("id") == -(1 << 63)
+    least = F.coalesce("first", "id")
+    return rows.join(dealt, (rows["own"] == dealt["name"]) & (rows["at"] == dealt["salt"]), "left").select(
+        F.when(~null_id, F.col("id")).alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        least.alias("component_id"), (least == F.col("id")).alias("kept"))

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
-from .common import utf8
+from .common import column, packed, utf8
 
 UNKNOWN = "application/octet-stream"
 _RATE = 8000
@@ -248,24 +249,28 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_media(keep_media), f"__id {kind}, {_COLUMNS}" + (", media binary" if keep_media else ""))
 
 
+_CARVED = D.StructType().add("offset", D.LongType()).add("length", D.LongType()).add("media_type", D.StringType()).add("bytes", D.BinaryType())
+_FOUND = D.StructType().add("media_type", D.StringType()).add("mislabelled", D.BooleanType()).add("carved", D.ArrayType(_CARVED))
+
+
 def correct_types(df: DataFrame, content_col: str = "content", declared_col: str = "declared") -> DataFrame:
     """``df`` plus ``media_type`` (as sniffed; as declared if unknown), ``mislabelled`` and ``carved`` (offset, length, media_type, bytes).
 
-    Null or empty content keeps its declared type. Other columns pass through.
+    Null or empty content keeps its declared type. Other columns pass through;
+    one that carries an output's name comes back with ``_input`` behind it.
+    Repeated rows get equal results; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            content, declared = (batch.column(names.index(c)).to_pylist() for c in (content_col, declared_col))
             kinds, wrong, carved = [], [], []
-            for b, d in zip(content, declared, strict=True):
+            for b, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 kind, inside = sniff(b)
                 kinds.append(d if kind == UNKNOWN and d else kind)
                 wrong.append(kind != UNKNOWN and kind != d)
                 carved.append([{"offset": o, "length": n, "media_type": k, "bytes": b[o : o + n]} for o, n, k in inside])
             shape = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("media_type", pa.string()), ("bytes", pa.binary())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.string()), pa.array(wrong, pa.bool_()), pa.array(carved, shape)], [*names, "media_type", "mislabelled", "carved"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), pa.array(wrong, pa.bool_()), pa.array(carved, shape)], ["r", *_FOUND.names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, schema + ", media_type string, mislabelled boolean, carved array<struct<offset:bigint,length:bigint,media_type:string,bytes:binary>>")
+    rows = df.select(packed(df.columns, _FOUND.names), column(content_col).alias("c"), column(declared_col).alias("d"))
+    return rows.mapInArrow(run, D.StructType([rows.schema["r"], *_FOUND.fields])).select("r.*", *_FOUND.names)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, column, cut, packed, row_hash
 
 #: No source is gone through more often than this.
 MOST_PASSES = 3
@@ -47,45 +47,53 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     return rows.select("__src", "source_size", "weight", target.alias("target"))
 
 
+def _plan(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], keep: list[str], outputs: tuple[str, ...]) -> DataFrame:
+    """(r, i, src, size, source_size, target, passes, start) for each document; ``r`` holds the columns to keep."""
+    mine = row_hash(docs)
+    base = docs.select(
+        packed(keep, outputs), column(id_col).alias("i"), column(source_col).alias("src"), n_words(column(text_col)).alias("size"), mine.alias("o"),
+        F.md5(F.coalesce(column(id_col).cast("string"), F.concat(F.lit("null "), mine.cast("string")))).alias("h"),
+    ).withColumn("g", F.substring("h", 1, DIGITS))
+    if text_col not in keep:
+        base = cut(base)  # narrow, and read three times below
+    groups = cut(base.groupBy("src", "g").agg(F.sum("size").alias("n")))
+    goal = targets(groups.groupBy(F.col("src").alias("__src")).agg(F.sum("n").alias("source_size")), weights)
+    before = Window.partitionBy("src").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    first = groups.select("src", "g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    plan = first.join(goal, first["src"].eqNullSafe(goal["__src"])).select(first["src"].alias("s"), first["g"].alias("b"), "first", "source_size", "target")
+    within = Window.partitionBy("src", "g").orderBy("h", "size", "o").rowsBetween(Window.unboundedPreceding, 0)
+    at = base.withColumn("end", F.sum("size").over(within))
+    at = at.join(plan, at["src"].eqNullSafe(plan["s"]) & (at["g"] == plan["b"]))
+    start = F.col("first") + F.col("end") - F.col("size")
+    taken = [F.when(2 * (F.col("source_size") * e + start) + F.col("size") <= 2 * F.col("target"), 1).otherwise(0) for e in range(MOST_PASSES)]
+    return at.select("r", "i", "src", "o", "size", "source_size", "target", F.when(F.col("size") > 0, sum(taken[1:], taken[0])).otherwise(0).alias("passes"), start.alias("start"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
         weights: tuple[int, ...] = (1, 2, 3), carry: list[str] | None = None) -> DataFrame:
-    """A row for each document: ``carry`` columns, ``size``, ``source_size``, ``target``, ``passes`` and ``__start``.
+    """A row for each document: ``carry`` columns, ``size``, ``source_size``, ``target``, ``passes`` and ``start``.
 
     ``passes`` is how often the mix takes the document, 0 to MOST_PASSES, always
-    whole. A null source is a source of its own; a null id is ordered as the
-    empty string; empty texts have size 0 and a place in the order. Rows equal
-    in id, size and source are told apart by an arbitrary but gapless order, so
-    equal rows may get different passes. An empty table gives an empty result.
+    whole. A null source is a source of its own; a null id is ordered by the
+    row's hash; empty texts have size 0 and a place in the order. Rows equal in
+    id and size are ordered by a hash of all their columns, so reruns agree;
+    rows equal in everything are told apart by a gapless order and may get
+    different passes, which the mix as a whole can't show. A carried column with
+    an output's name comes back with ``_input`` behind it. An empty table gives
+    an empty result.
     """
-    carry = [id_col] if carry is None else carry
-    base = docs.select(
-        *[F.col(f"`{c}`") for c in carry], F.col(source_col).alias("__src"), n_words(F.col(text_col)).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__h"),
-    ).withColumn("__g", F.substring("__h", 1, DIGITS))
-    if text_col not in carry:
-        base = cut(base)  # narrow, and read three times below
-    groups = cut(base.groupBy("__src", "__g").agg(F.sum("size").alias("__n")))
-    goal = targets(groups.groupBy("__src").agg(F.sum("__n").alias("source_size")), weights)
-    before = Window.partitionBy("__src").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
-    first = groups.select("__src", "__g", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")).alias("f")
-    goal = goal.alias("t")
-    plan = first.join(goal, F.col("f.__src").eqNullSafe(F.col("t.__src"))).select(
-        F.col("f.__src").alias("__s"), F.col("__g").alias("__b"), "__first", "source_size", "target")
-    within = Window.partitionBy("__src", "__g").orderBy("__h", "size").rowsBetween(Window.unboundedPreceding, 0)
-    at = base.withColumn("__end", F.sum("size").over(within))
-    at = at.join(plan, at["__src"].eqNullSafe(plan["__s"]) & (at["__g"] == plan["__b"]))
-    start = F.col("__first") + F.col("__end") - F.col("size")
-    taken = [F.when(2 * (F.col("source_size") * e + start) + F.col("size") <= 2 * F.col("target"), 1).otherwise(0) for e in range(MOST_PASSES)]
-    return at.select(
-        *[F.col(f"`{c}`") for c in carry], "size", "source_size", "target",
-        F.when(F.col("size") > 0, sum(taken[1:], taken[0])).otherwise(0).alias("passes"), start.alias("__start"))
+    names = ("size", "source_size", "target", "passes", "start")
+    return _plan(docs, id_col, source_col, text_col, weights, [id_col] if carry is None else carry, names).select("r.*", *names)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
           weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """The mix itself: ``docs`` with each document as often as it is taken, range-sorted by virtual finish time."""
-    names = docs.columns
-    rows = mix(docs, id_col, source_col, text_col, weights, carry=names).where("passes > 0")
-    rows = rows.withColumn("__e", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    finish = (F.col("source_size") * F.col("__e") + F.col("__start") + F.col("size")) / F.col("target")
-    return rows.withColumn("__finish", finish).orderBy("__finish", source_col, id_col).select(*[F.col(f"`{n}`") for n in names])
+    """The mix itself: ``docs`` with each document as often as it is taken, range-sorted by virtual finish time.
+
+    All columns, whatever their names, come back as they were. Nulls, ties,
+    repeated rows and empty tables are treated as by ``mix``.
+    """
+    rows = _plan(docs, id_col, source_col, text_col, weights, docs.columns, ()).where("passes > 0")
+    rows = rows.withColumn("e", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
+    finish = (F.col("source_size") * F.col("e") + F.col("start") + F.col("size")) / F.col("target")
+    return rows.withColumn("f", finish).orderBy("f", "src", "i", "o").select("r.*")

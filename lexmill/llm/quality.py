@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
-from .common import chunks, mix, parts, utf8, word_bounds, word_hashes
+from .common import chunks, column, mix, packed, parts, utf8, word_bounds, word_hashes
 
 #: log2 of the number of weights.
 BITS = 18
@@ -113,14 +114,17 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` plus a score from 0 to 1 of each whole text; null and empty texts get the bias's score."""
+    """``docs`` plus a score from 0 to 1 of each whole text, as ``name``; a column of that name comes back as ``<name>_input``.
+
+    Null and empty texts get the bias's score; repeated rows get equal scores; an empty table gives an empty result.
+    """
     w = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [score_grams(g, w.value) for _, _, texts in parts(b.column(b.schema.names.index("__t"))) for g in features(texts)]
-            rest = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n != "__t"]
-            yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(scores, pa.float64())], [n for n, _ in rest] + [name])
+            scores = [score_grams(g, w.value) for _, _, texts in parts(b.column(1)) for g in features(texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["r", "s"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__t", F.col(text_col)).mapInArrow(run, schema + f", {name} double")
+    rows = docs.select(packed(docs.columns, [name]), column(text_col).alias("t"))
+    schema = D.StructType([rows.schema["r"], D.StructField("s", D.DoubleType())])
+    return rows.mapInArrow(run, schema).select("r.*", F.col("s").alias(name))

@@ -42,7 +42,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentencepiece.encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = sentencepiece.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     ids = F.concat_ws(" ", F.transform("ids", lambda i: i.cast("string")))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(ids, 256).alias("ids_sha256"), "exact")
 
@@ -59,7 +59,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = chat.format_rows(read(spark, sf_dir, "conversations"))
     one = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"))
-    out = rows.unionByName(chat.format_chats(one).drop("record"))
+    out = rows.unionByName(chat.format_chats(one).drop("record", "error"))
     back, loss = chat.parse(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("loss_spans"))
     said_all = F.array_join(F.transform("__back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", "formatted", back.alias("__back"), loss.alias("__loss")).select(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_of
+from .common import column, key_of, packed, row_hash
 
 #: Multiplier of the generator in the published algorithm.
 LCG = 2862933555777941757
@@ -52,20 +52,21 @@ def jump_hash(key: Column, shards: int) -> Column:
 def place(df: DataFrame, id_col: str, shards: int, order: list[str] | None = None) -> DataFrame:
     """``df`` plus ``shard``, ``slot`` (0, 1, ... in each shard) and ``grown_shard`` (with one shard more).
 
-    Slots follow the MD5 of the id, then the id, then ``order``. They are
-    numbered in groups of a shard and the first digits of that hash, whose
-    sizes (at most shards * 16**DIGITS rows, so small enough to broadcast) give
-    each group its first slot; no task sees a whole shard. A null id is the key
-    -2**63. Repeated rows get a slot each. An empty table gives an empty result.
+    Ids are integers; a null id is the key -2**63. Slots follow the MD5 of the
+    id (of the row's hash if the id is null), then the id, ``order`` and the
+    row's hash. They are numbered in groups of a shard and the first digits of
+    that MD5, whose sizes give each group its first slot; no task sees a whole
+    shard. A column that carries an output's name comes back with ``_input``
+    behind it. Repeated rows get a slot each. An empty table gives an empty result.
     """
-    order = order or []
-    at = df.withColumns({"__k": key_of(id_col), "__h": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))})
-    at = at.withColumns({"shard": jump_hash(F.col("__k"), shards), "grown_shard": jump_hash(F.col("__k"), shards + 1), "__g": F.substring("__h", 1, DIGITS)})
-    sizes = at.groupBy("shard", "__g").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("shard", "__g", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    within = Window.partitionBy("shard", "__g").orderBy("__h", "__k", *order)
-    return (
-        at.withColumn("__i", F.row_number().over(within)).join(F.broadcast(first), ["shard", "__g"])
-        .withColumn("slot", (F.col("__first") + F.col("__i") - 1).cast("long")).drop("__k", "__h", "__g", "__i", "__first")
-    )
+    mine = row_hash(df)
+    text = F.coalesce(column(id_col).cast("string"), F.concat(F.lit("null "), mine.cast("string")))
+    at = df.select(packed(df.columns, ["shard", "slot", "grown_shard"]), key_of(id_col).alias("k"), F.md5(text).alias("h"),
+                   F.struct(*[column(c) for c in order or []], mine.alias("__mine")).alias("o"))
+    at = at.withColumns({"shard": jump_hash(F.col("k"), shards), "grown_shard": jump_hash(F.col("k"), shards + 1), "g": F.substring("h", 1, DIGITS)})
+    sizes = at.groupBy("shard", "g").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("shard", "g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("shard", "g").orderBy("h", "k", "o")
+    numbered = at.withColumn("i", F.row_number().over(within)).join(first, ["shard", "g"])
+    return numbered.select("r.*", "shard", "grown_shard", (F.col("first") + F.col("i") - 1).cast("long").alias("slot"))

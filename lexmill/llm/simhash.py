@@ -21,10 +21,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
-from .common import Forest, cut, key_of, parts
+from .common import Forest, column, cut, identity, keep_least, key_of, parts
 from .components import components
 
+#: Fingerprints in a shard beyond which it is parted by further bits.
+SHARD = 2048
+
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """64-bit SimHash of a UTF-8 text; 0 for a text without words."""
@@ -48,10 +52,12 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def _fingerprints(shingle: int):
+    """The last column's fingerprints in its place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for _, _, texts in parts(batch.column(1)) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["__id", "__fp"])
+            fps = np.array([fingerprint(t, shingle) for _, _, texts in parts(batch.columns[-1]) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], [*batch.schema.names[:-1], "__fp"])
 
     return run
 
@@ -59,7 +65,8 @@ def _fingerprints(shingle: int):
 def _links(radius: int):
     """Edges of a spanning forest for each shard; shards arrive sorted."""
 
-    def shard(fps: list[int], ids: list[int]) -> Iterator[tuple[int, int]]:
+    def shard(signed: list[int]) -> Iterator[tuple[int, int]]:
+        fps = [x & (1 << 64) - 1 for x in signed]
         forest = Forest(len(fps))
         kids: list[dict[int, int]] = [{}]
         for i in range(1, len(fps)):
@@ -86,30 +93,69 @@ def _links(radius: int):
         for i in range(len(fps)):
             r = forest.find(i)
             if r in last:
-                yield ids[last[r]], ids[i]
+                yield signed[last[r]], signed[i]
             last[r] = i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int]] = []
             for members in batch.column(0).to_pylist():
-                out += shard([x["__fp"] & (1 << 64) - 1 for x in members], [x["__rep"] for x in members])
+                out += shard(members)
             a, b = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _shards(radius: int) -> F.Column:
-    """Array of shard keys of ``__fp``: each choice of three of radius + 3 bit blocks."""
-    n = radius + 3
-    edge = [64 * i // n for i in range(n + 1)]
-    keys = []
-    for c, blocks in enumerate(combinations(range(n), 3)):
-        mask = sum(((1 << edge[i + 1]) - 1) & ~((1 << edge[i]) - 1) for i in blocks)
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(c).alias("c"), F.col("__fp").bitwiseAND(F.lit(mask)).alias("v")))
-    return F.array(*keys)
+def _edges(n: int, bits: list[int]) -> list[int]:
+    """Masks that deal these bits out to n blocks."""
+    cut_at = [len(bits) * i // n for i in range(n + 1)]
+    return [sum(1 << b for b in bits[cut_at[i] : cut_at[i + 1]]) for i in range(n)]
+
+
+def _key(name: int, mask: int) -> F.Column:
+    mask = mask - (1 << 64) if mask >> 63 else mask
+    return F.struct(F.lit(name).alias("c"), F.col("__fp").bitwiseAND(F.lit(mask)).alias("v"))
+
+
+def _shards(radius: int) -> dict[int, int]:
+    """Shard number to mask: each choice of three of radius + 3 bit blocks."""
+    return {c: sum(x) for c, x in enumerate(combinations(_edges(radius + 3, list(range(64))), 3))}
+
+
+def _split(radius: int, mask: int) -> list[int]:
+    """Masks that part a shard further: of the bits outside it, in radius + 2 blocks, each choice of two."""
+    return [sum(x) for x in combinations(_edges(radius + 2, [b for b in range(64) if not mask >> b & 1]), 2)]
+
+
+def _sharded(reps: DataFrame, radius: int) -> DataFrame:
+    """``__members``: the fingerprints of each shard.
+
+    A shard of more than ``SHARD`` fingerprints is parted by further bits, which
+    pairs within the radius share as well; what is left then differs in few
+    bits, so its size is bounded whatever the corpus.
+    """
+    masks = _shards(radius)
+    placed = reps.select("__fp", F.explode(F.array(*[_key(c, m) for c, m in masks.items()])).alias("__key"))
+    hot = cut(placed.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("__key"))
+    if hot.isEmpty():
+        parts_ = placed.withColumn("__sub", F.lit(None).cast("struct<c:int,v:bigint>"))
+    else:
+        further = F.array().cast("array<struct<c:int,v:bigint>>")
+        for c, m in masks.items():
+            further = F.when(F.col("__key.c") == c, F.array(*[_key(i, x) for i, x in enumerate(_split(radius, m))])).otherwise(further)
+        parts_ = placed.join(hot, "__key", "left_anti").withColumn("__sub", F.lit(None).cast("struct<c:int,v:bigint>")).unionByName(
+            placed.join(hot, "__key", "left_semi").withColumn("__sub", F.explode(further)))
+    return parts_.groupBy("__key", "__sub").agg(F.collect_list("__fp").alias("__members")).where(F.size("__members") > 1).select("__members")
+
+
+def _labels(docs: DataFrame, columns: list[F.Column], text_col: str, shingle: int, radius: int) -> DataFrame:
+    """``columns`` of each row with its fingerprint ``__fp`` and group ``c``, a fingerprint of the group."""
+    plain = docs.select(*columns, column(text_col).alias("__fp"))
+    schema = D.StructType([*plain.schema.fields[:-1], D.StructField("__fp", D.LongType())])
+    rows = cut(plain.mapInArrow(_fingerprints(shingle), schema))
+    found = components(_sharded(rows.select("__fp").distinct(), radius).mapInArrow(_links(radius), "a long, b long"))
+    return rows.join(found, rows["__fp"] == found["node"], "left").withColumn("c", F.coalesce("component", "__fp")).drop("node", "component")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -117,26 +163,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     component_id is the least id reachable over links between fingerprints that
     differ in ``radius`` bits or fewer. A null or empty text has fingerprint zero
-    and is linked like any other. A null id stays null in ``__id`` and counts as
-    the least long in component_id. Repeated rows give repeated results; an
-    empty table gives an empty one. Other columns are not looked at.
+    and is linked like any other. Ids are integers; a null id stays null in
+    ``__id`` and counts as the least long in component_id. Repeated rows give
+    repeated results; an empty table gives an empty one. Other columns, whatever
+    their names, are not looked at.
     """
-    rows = cut(docs.select(key_of(id_col).alias("__id"), F.col(text_col)).mapInArrow(_fingerprints(shingle), "__id long, __fp long"))
-    reps = rows.groupBy("__fp").agg(F.min("__id").alias("__rep"))
-    shards = reps.select("__fp", "__rep", F.explode(_shards(radius)).alias("__key")).groupBy("__key").agg(
-        F.collect_list(F.struct("__fp", "__rep")).alias("__members"))
-    edges = shards.where(F.size("__members") > 1).select("__members").mapInArrow(_links(radius), "a long, b long")
-    found = components(edges)
-    named = reps.join(found, reps["__rep"] == found["node"], "left").select(
-        "__fp", F.coalesce("component", "__rep").alias("component_id"))
-    return rows.join(named, "__fp").select(
-        F.when(F.col("__id") != -(1 << 63), F.col("__id")).alias("__id"),
-        F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = _labels(docs, [key_of(id_col).alias("k")], text_col, shingle, radius)
+    least = rows.groupBy("c").agg(F.min("k").alias("component_id"))
+    return rows.join(least, "c").select(
+        F.when(F.col("k") != -(1 << 63), F.col("k")).alias("__id"), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one document of each group: the one with the least id, once."""
-    names = docs.columns
-    groups = simhash_groups(docs, id_col, text_col, shingle, radius).select(key_of("__id").alias("__k"), F.col("component_id").alias("__c")).where("__k = __c").select("__k").distinct()
-    keyed = docs.withColumn("__k", key_of(id_col)).join(groups, "__k", "left_semi")
-    return keyed.dropDuplicates(["__k"]).select(*[F.col(f"`{n}`") for n in names])
+    """``docs`` with one document of each group: the one with the least id, of several such the one with the least hash of text and columns.
+
+    A row goes only if its group keeps another: rows with a null or a shared id
+    but different texts stay unless their fingerprints link. All columns,
+    whatever their names, come back as they were; an empty table gives an empty one.
+    """
+    return keep_least(docs, _labels(docs, identity(docs, id_col, text_col), text_col, shingle, radius), id_col, text_col)

@@ -20,8 +20,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
-from .common import key_of, mix, parts, runs, shuffle_partitions, word_bounds, word_hashes
+from .common import column, key_of, mix, packed, parts, runs, shuffle_partitions, word_bounds, word_hashes
 
 #: Bytes of distinct packed strings that a map task holds before it sends them on.
 HOLD_BYTES = 24 << 20
@@ -106,6 +107,7 @@ def _pack(window: int, buckets: int):
                         late.append(old[:4])
                     elif x != old:
                         again.append((words, x))
+                        held += e - s + 160
                 if held > HOLD_BYTES or len(late) > 1_000_000:
                     yield from flush(seen, again, late)
                     seen, again, late, held = {}, [], [], 0
@@ -206,14 +208,14 @@ def _resolve(window: int):
     return run
 
 
-def _keep(text_col: str):
+def _keep(at: int):
+    """``at``: the place of the text in ``r``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            for lo, hi, texts in parts(batch.column(names.index(text_col))):
-                some = batch.slice(lo, hi - lo)
+            for lo, hi, texts in parts(batch.column(0).field(at)):
                 total, gone, kept = [], [], []
-                for t, sp in zip(texts, some.column(names.index("__spans")).to_pylist(), strict=True):
+                for t, sp in zip(texts, batch.column(1).slice(lo, hi - lo).to_pylist(), strict=True):
                     words = t.split()
                     total.append(len(words))
                     if not sp:
@@ -227,11 +229,7 @@ def _keep(text_col: str):
                     stay = np.flatnonzero(np.cumsum(drop[:-1]) == 0).tolist()
                     gone.append(len(words) - len(stay))
                     kept.append(b" ".join([words[i] for i in stay]).decode())
-                rest = [(n, c) for n, c in zip(names, some.columns, strict=True) if n != "__spans"]
-                yield pa.RecordBatch.from_arrays(
-                    [*[c for _, c in rest], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                    [*[n for n, _ in rest], "__n", "__r", "__kept"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["r", "n", "g", "k"])
 
     return run
 
@@ -241,19 +239,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a window that covers it also starts earlier: in a smaller id,
     or in the same one at an earlier word. A null text has no words; texts of
-    fewer than ``window`` words lose none. A null id counts as the least. Rows
-    that share an id are one document for the order, and equal rows get equal
-    results. An empty table gives an empty result; other columns pass through
-    unless they carry one of the names above.
+    fewer than ``window`` words lose none. Ids are integers; a null id counts as
+    the least. Rows that share an id are one document for the order, and equal
+    rows get equal results. An empty table gives an empty result; other columns
+    pass through, one with an output's name with ``_input`` behind it.
     """
     if window < _MM:
         raise ValueError(f"window must be {_MM} or more")
     spark = docs.sparkSession
-    keyed = docs.withColumns({"__d": key_of(id_col), "__m": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    names = ["__n", "__r", "__kept"]
+    text = column(text_col)
+    keyed = docs.select(packed(docs.columns, names), key_of(id_col).alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("m"), text.alias("t"))
     buckets = 8 * shuffle_partitions(spark)
-    packed = keyed.select("__d", "__m", text_col).mapInArrow(_pack(window, buckets), _PACKED)
-    spans = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(window), _SPANS)
-    gone = spans.groupBy("__d", "__m").agg(F.collect_list(F.struct("__s", "__e")).alias("__spans"))
-    both = keyed.join(gone, ["__d", "__m"], "left").drop("__d", "__m")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["__n long", "__r long", "__kept string"])
-    return both.mapInArrow(_keep(text_col), schema)
+    strings = keyed.select("d", "m", "t").mapInArrow(_pack(window, buckets), _PACKED)
+    spans = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(window), _SPANS)
+    gone = spans.groupBy(F.col("__d").alias("d"), F.col("__m").alias("m")).agg(F.collect_list(F.struct("__s", "__e")).alias("spans"))
+    both = keyed.select("r", "d", "m").join(gone, ["d", "m"], "left").select("r", "spans")
+    schema = D.StructType([both.schema["r"], *D.StructType.fromDDL("n long, g long, k string").fields])
+    out = both.mapInArrow(_keep(docs.columns.index(text_col)), schema)
+    return out.select("r.*", F.col("n").alias("__n"), F.col("g").alias("__r"), F.col("k").alias("__kept"))

@@ -366,12 +366,12 @@ def test_viterbi_fold(spark):
 
 def test_encode_round_trip(spark, odd):
     m = sentencepiece.Model(sentencepiece.read_model())
-    out = sentencepiece.encode(odd.drop("score"))
+    out = sentencepiece.encode(odd)
     back = sentencepiece.decode(out).collect()
     assert len(back) == odd.count() and all(r.exact and r.decoded == (r.text or "") for r in back)
     for r in back:
-        if r.text and "▁" not in r.text:
-            assert r.ids == m.sp.encode(r.text)
+        if "▁" not in (r.text or ""):
+            assert r.ids == m.sp.encode(r.text or "")
     assert sentencepiece.encode(odd.limit(0)).count() == 0
 
 
@@ -394,7 +394,7 @@ def test_jump_hash(spark):
 
 
 def test_shards_and_slots(spark, odd):
-    out = sharding.place(odd.drop("shard"), "doc_id", 4).collect()
+    out = sharding.place(odd, "doc_id", 4).collect()
     assert len(out) == odd.count()
     for r in out:
         k = -(1 << 63) if r.doc_id is None else r.doc_id
@@ -402,7 +402,7 @@ def test_shards_and_slots(spark, odd):
     for s in range(4):
         slots = sorted(r.slot for r in out if r.shard == s)
         assert slots == list(range(len(slots)))
-    assert sharding.place(odd.drop("shard").limit(0), "doc_id", 4).count() == 0
+    assert sharding.place(odd.limit(0), "doc_id", 4).count() == 0
 
 
 # ------------------------------------------------------------------------ chat
@@ -464,7 +464,7 @@ def brute_targets(sizes, weights=(1, 2, 3)):
 def test_targets_and_taken(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), rng.choice(["a"] * 30 + ["b", "c", "d", "é", None])) for i in range(600)] + [(900, None, "empty"), (901, "", "empty"), (5, "twice", "a"), (5, "twice", "a"), (None, "x", "a")]
-    df = docs(spark, rows).drop("score")
+    df = docs(spark, rows)
     sizes = {}
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + len(WORD.findall(t or ""))
@@ -493,8 +493,7 @@ def test_pipeline_against_brute_force(spark):
     t = pq.read_table(f"{DATA}/documents.parquet").to_pandas()
     scores = [quality.score_grams(g, w) for g in quality.features([x.encode() for x in t.text])]
     t = t[np.array(scores) >= 0.3]
-    fp = {i: brute_simhash(x) for i, x in zip(t.doc_id, t.text, strict=True)}
-    comp = brute_components(list(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2)
+    comp = brute_jaccard(list(zip(t.doc_id, t.text, strict=True)))
     t = t[[comp[i] == i for i in t.doc_id]]
     kept = {i: (r, k) for i, _, r, k in brute_windows(list(zip(t.doc_id, t.text, strict=True)))}
     t = t.assign(text=[kept[i][1] if kept[i][0] else x for i, x in zip(t.doc_id, t.text, strict=True)])
