@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as D
 
-from .common import chunks, column, mix, packed, parts, utf8, word_bounds, word_hashes
+from .common import chunks, lean, mix, packed, parts, utf8, word_bounds, word_hashes
 
 #: log2 of the number of weights.
 BITS = 18
@@ -122,9 +122,10 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [score_grams(g, w.value) for _, _, texts in parts(b.column(1)) for g in features(texts)]
+            scores = [score_grams(g, w.value) for _, _, texts in parts(b.column(0).field(at)) for g in features(texts)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["r", "s"])
 
-    rows = docs.select(packed(docs.columns, [name]), column(text_col).alias("t"))
+    at = docs.columns.index(text_col)
+    rows = docs.select(packed(docs.columns, [name]))
     schema = D.StructType([rows.schema["r"], D.StructField("s", D.DoubleType())])
-    return rows.mapInArrow(run, schema).select("r.*", F.col("s").alias(name))
+    return rows.mapInArrow(lean(run), schema).select("r.*", F.col("s").alias(name))

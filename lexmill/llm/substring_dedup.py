@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as D
 
-from .common import column, key_of, mix, packed, parts, runs, shuffle_partitions, word_bounds, word_hashes
+from .common import column, key_of, lean, mix, packed, parts, runs, shuffle_partitions, word_bounds, word_hashes
 
 #: Bytes of distinct packed strings that a map task holds before it sends them on.
 HOLD_BYTES = 24 << 20
@@ -251,10 +251,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = column(text_col)
     keyed = docs.select(packed(docs.columns, names), key_of(id_col).alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("m"), text.alias("t"))
     buckets = 8 * shuffle_partitions(spark)
-    strings = keyed.select("d", "m", "t").mapInArrow(_pack(window, buckets), _PACKED)
-    spans = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(window), _SPANS)
+    strings = keyed.select("d", "m", "t").mapInArrow(lean(_pack(window, buckets)), _PACKED)
+    spans = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_resolve(window)), _SPANS)
     gone = spans.groupBy(F.col("__d").alias("d"), F.col("__m").alias("m")).agg(F.collect_list(F.struct("__s", "__e")).alias("spans"))
     both = keyed.select("r", "d", "m").join(gone, ["d", "m"], "left").select("r", "spans")
     schema = D.StructType([both.schema["r"], *D.StructType.fromDDL("n long, g long, k string").fields])
-    out = both.mapInArrow(_keep(docs.columns.index(text_col)), schema)
+    out = both.mapInArrow(lean(_keep(docs.columns.index(text_col))), schema)
     return out.select("r.*", F.col("n").alias("__n"), F.col("g").alias("__r"), F.col("k").alias("__kept"))
