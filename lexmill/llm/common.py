@@ -219,12 +219,29 @@ def identity(docs: DataFrame, id_col: str, text_col: str) -> list[F.Column]:
     return [key_of(id_col).alias("k"), half(1).alias("s"), half(16).alias("z"), row_hash(docs).alias("o")]
 
 
+#: Bits of the table that tells which rows may share their label with another.
+DOUBT_BITS = 24
+
+
 def keep_least(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of ``docs`` for each label ``c`` of ``labelled(k, s, z, o, c)``: the least by id, text and the rest.
 
     Rows with a null id or a shared one are told apart by their texts; rows that
-    are equal in all columns are one.
+    are equal in all columns are one. A row that is alone under its label stays
+    where it is: a table of 2^DOUBT_BITS bits tells most of them, and only the
+    rows that it can't tell, whatever their number, are shuffled and joined.
     """
-    least = labelled.groupBy("c").agg(F.min(F.struct("k", "s", "z", "o")).alias("w")).select("w.*")
-    rows = docs.select(packed(docs.columns), *identity(docs, id_col, text_col))
-    return rows.join(least, ["k", "s", "z", "o"], "left_semi").dropDuplicates(["k", "s", "z", "o"]).select("r.*")
+    key = ["k", "s", "z", "o"]
+    labelled = cut(labelled)
+    by = cut(labelled.groupBy("c").agg(F.min(F.struct(*key)).alias("w"), F.count(F.lit(1)).alias("n")))
+    least = by.select("w.*")
+    at = F.pmod(F.xxhash64(*key), F.lit(1 << DOUBT_BITS)) + 1  # buckets of positive numbers start at 1
+    bucket, bit = F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+    shared = labelled.join(by.where("n > 1").select("c"), "c", "left_semi")
+    bits = shared.groupBy(bucket.alias("__b")).agg(F.bitmap_construct_agg(bit).alias("__bits"))  # 4 KB a row, 2^DOUBT_BITS bits in all
+    rows = docs.select(packed(docs.columns), *identity(docs, id_col, text_col)).withColumn("__b", bucket).withColumn("__at", bit)
+    byte = F.conv(F.hex(F.substring("__bits", (F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    doubt = F.coalesce(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1, F.lit(False))
+    told = rows.join(F.broadcast(bits), "__b", "left").withColumn("__doubt", doubt).select("r", *key, "__doubt")
+    settled = told.where("__doubt").join(least, key, "left_semi").dropDuplicates(key)
+    return told.where("not __doubt").select("r.*").unionAll(settled.select("r.*"))
