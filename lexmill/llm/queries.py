@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, html_extract, media, mixing, quality, sentencepiece, sharding, simhash, substring_dedup
-from .common import read
+from . import chat, embed_dedup, html_extract, media, mixing, quality, sentencepiece, sharding, simhash, spelling, structure_repair, substring_dedup, warc
+from .common import cut, read, shared_folder
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,32 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).cast("long").alias("taken"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    try:
+        warc.write_monolithic(warc.records(read(spark, sf_dir, "pages")), f"{folder}/whole")
+        warc.normalise(spark, f"{folder}/whole", f"{folder}/members")
+        found = warc.read_records(warc.read_index(spark, f"{folder}/members"))
+        page = lambda c: F.expr(f"try_cast(split_part({c}, ':', 3) AS long)")
+        digest = F.coalesce(F.sha1("payload"), F.substring_index("payload_digest", ":", -1))
+        return cut(found.select(page("record_id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", page("refers_to").alias("refers_to")))
+    finally:
+        warc.drop_folder(spark, folder)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.word_counts(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    found = structure_repair.report(structure_repair.damage(rows))
+    every = rows.select("conv_id").distinct()
+    numbers = [F.coalesce(F.col(f"f.{c}"), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    joined = every.alias("e").join(found.alias("f"), F.col("e.conv_id").eqNullSafe(F.col("f.conv_id")), "left")
+    return joined.select("e.conv_id", *numbers, F.coalesce("f.audit", F.lit("")).alias("audit"), F.coalesce("f.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_classifier": op2_quality_classifier,
@@ -84,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_mixing": op10_mixing,
+    "op11_warc": op11_warc,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_structure_repair": op13_structure_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -153,5 +183,14 @@ WITH d AS (
 SELECT doc_id, size::BIGINT AS size, source_size, target,
   (size * list_sum(list_transform([0, 1, 2], lambda e: CASE WHEN 2 * (source_size * e + start) + size <= 2 * target THEN 1 ELSE 0 END)))::BIGINT AS taken
 FROM p
+""",
+    "op11_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages
+), o AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS owner FROM p
+)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN owner > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN owner > page_id THEN owner END AS refers_to FROM o
 """,
 }
