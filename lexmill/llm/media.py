@@ -1,16 +1,20 @@
 """Media columns: signature sniffing, type correction and carving.
 
 One Aho-Corasick pass over a stored value finds the magic bytes of every known
-format; a validator then checks structure and lengths from that place on. What
-starts at 0 and spans the value is its true type, whatever was declared; what
-is valid further inside is carved.
+format and the marks that end some; a validator then checks structure and
+lengths from that place on. What starts at 0 is the value's true type, whatever
+was declared; what is valid further inside is carved, outermost objects only.
+End marks are found once and chains of segments are walked once, so repeated
+magic bytes don't make a value's work grow with its square.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,101 +29,168 @@ UNKNOWN = "application/octet-stream"
 _RATE = 8000
 
 
-def _riff(form: bytes) -> Callable[[bytes, int], int]:
-    def check(b: bytes, at: int) -> int:
+#: Marks that validators look for behind a place.
+_END_ZIP, _END_PDF, _START_PDF, _END_JPEG = b"PK\x05\x06", b"%%EOF", b"startxref", b"\xff\xd9"
+_ZERO = b"\0"
+#: Bytes that are inflated at a time.
+_STEP = 4096
+
+
+class Value:
+    """A value, the places of its end marks in order, and what is known of its chains of segments."""
+
+    def __init__(self, data: bytes):
+        self.data, self.ends, self.known = data, {m: [] for m in (_END_ZIP, _END_PDF, _START_PDF, _END_JPEG)}, {}
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from ``at`` on, or -1."""
+        if mark not in self.ends:  # asked for by few values
+            self.ends[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        places = self.ends[mark]
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+    def chain(self, kind: str, at: int, step: Callable[[int], tuple[int, int]]) -> int:
+        """Where the chain from ``at`` ends (0: it breaks). ``step`` gives (next place, 0) or (0, result); a place is walked once."""
+        walked = []
+        while (result := self.known.get((kind, at))) is None:
+            walked.append(at)
+            at, result = step(at)
+            if not at:
+                break
+        self.known.update(((kind, x), result) for x in walked)
+        return result
+
+
+def _riff(form: bytes) -> Callable[[Value, int], int]:
+    def check(v: Value, at: int) -> int:
+        b = v.data
         if len(b) < at + 12 or b[at + 8 : at + 12] != form:
             return 0
         end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
         if end > len(b):
             return 0
-        pos = at + 12
-        while pos < end:
+
+        def step(pos: int) -> tuple[int, int]:
+            if pos >= end:
+                return 0, pos
             if pos + 8 > end:
-                return 0
+                return 0, 0
             n = int.from_bytes(b[pos + 4 : pos + 8], "little")
-            pos += 8 + n + (n & 1)
-        return end - at if pos == end else 0
+            return pos + 8 + n + (n & 1), 0
+
+        return end - at if v.chain(f"riff{end}", at + 12, step) == end else 0
 
     return check
 
 
-def _png(b: bytes, at: int) -> int:
-    pos = at + 8
-    while pos + 12 <= len(b):
-        n, kind = int.from_bytes(b[pos : pos + 4], "big"), b[pos + 4 : pos + 8]
-        if pos + 12 + n > len(b) or (pos == at + 8 and kind != b"IHDR"):
-            return 0
-        if zlib.crc32(b[pos + 4 : pos + 8 + n]) != int.from_bytes(b[pos + 8 + n : pos + 12 + n], "big"):
+def _png(v: Value, at: int) -> int:
+    b = v.data
+
+    def step(pos: int) -> tuple[int, int]:
+        if pos + 12 > len(b):
+            return 0, 0
+        n = int.from_bytes(b[pos : pos + 4], "big")
+        if pos + 12 + n > len(b):
+            return 0, 0
+        return (0, pos + 12 + n) if b[pos + 4 : pos + 8] == b"IEND" else (pos + 12 + n, 0)
+
+    if b[at + 8 : at + 16] != b"\x00\x00\x00\x0dIHDR":
+        return 0
+    end, pos = v.chain("png", at + 8, step), at + 8
+    while end and pos < end:  # lengths first, checksums of what reaches an end
+        n = int.from_bytes(b[pos : pos + 4], "big")
+        if zlib.crc32(memoryview(b)[pos + 4 : pos + 8 + n]) != int.from_bytes(b[pos + 8 + n : pos + 12 + n], "big"):
             return 0
         pos += 12 + n
-        if kind == b"IEND":
-            return pos - at
-    return 0
+    return end - at if end else 0
+
 
+def _jpeg(v: Value, at: int) -> int:
+    b = v.data
 
-def _jpeg(b: bytes, at: int) -> int:
-    pos = at + 2
-    while pos + 4 <= len(b) and b[pos] == 0xFF:
-        kind, n = b[pos + 1], int.from_bytes(b[pos + 2 : pos + 4], "big")
+    def step(pos: int) -> tuple[int, int]:
+        if pos + 4 > len(b) or b[pos] != 0xFF:
+            return 0, 0
+        n = int.from_bytes(b[pos + 2 : pos + 4], "big")
         if n < 2:
-            return 0
-        pos += 2 + n
-        if kind == 0xDA:
-            end = b.find(b"\xff\xd9", pos)
-            return end + 2 - at if end >= 0 else 0
-    return 0
+            return 0, 0
+        if b[pos + 1] == 0xDA:
+            return 0, v.next(_END_JPEG, pos + 2 + n) + 2
+        return pos + 2 + n, 0
 
+    end = v.chain("jpeg", at + 2, step)
+    return end - at if end > at + 2 else 0
 
-def _gif(b: bytes, at: int) -> int:
-    if len(b) < at + 14:
-        return 0
-    flags = b[at + 10]
-    pos = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-    while pos < len(b):
-        kind = b[pos]
-        if kind == 0x3B:
-            return pos + 1 - at
-        if kind == 0x21:
+
+def _gif(v: Value, at: int) -> int:
+    b = v.data
+
+    def step(pos: int) -> tuple[int, int]:
+        if pos >= len(b):
+            return 0, 0
+        if b[pos] == 0x3B:
+            return 0, pos + 1
+        if b[pos] == 0x21:
             pos += 2
-        elif kind == 0x2C and pos + 10 < len(b):
+        elif b[pos] == 0x2C and pos + 10 < len(b):
             local = b[pos + 9]
             pos += 10 + (3 << (local & 7) + 1 if local & 0x80 else 0) + 1
         else:
-            return 0
-        while pos < len(b) and b[pos]:
-            pos += 1 + b[pos]
-        pos += 1
-    return 0
+            return 0, 0
+        pos = v.chain("blocks", pos, blocks)
+        return (pos, 0) if pos else (0, 0)
 
+    def blocks(pos: int) -> tuple[int, int]:
+        if pos >= len(b):
+            return 0, 0
+        return (pos + 1 + b[pos], 0) if b[pos] else (0, pos + 1)
 
-def _bmp(b: bytes, at: int) -> int:
+    if len(b) < at + 14:
+        return 0
+    flags = b[at + 10]
+    end = v.chain("gif", at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), step)
+    return end - at if end else 0
+
+
+def _bmp(v: Value, at: int) -> int:
+    b = v.data
     if len(b) < at + 26:
         return 0
     size, start, head = int.from_bytes(b[at + 2 : at + 6], "little"), int.from_bytes(b[at + 10 : at + 14], "little"), int.from_bytes(b[at + 14 : at + 18], "little")
     return size if b[at + 6 : at + 10] == bytes(4) and head in (12, 40, 52, 56, 108, 124) and 14 + head <= start <= size <= len(b) - at else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.rfind(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else 0
+def _pdf(v: Value, at: int) -> int:
+    end, table = (v.ends[_END_PDF] or [-1])[-1], v.next(_START_PDF, at)
+    return end + 5 - at if at <= table and table + len(_START_PDF) <= end else 0
 
 
-def _gzip(b: bytes, at: int) -> int:
+def _gzip(v: Value, at: int) -> int:
+    b = v.data
     if len(b) < at + 18 or b[at + 3] & 0xE0:
         return 0
-    d = zlib.decompressobj(31)
+    flags, pos = b[at + 3], at + 10
+    if flags & 4:
+        pos += 2 + int.from_bytes(b[pos : pos + 2], "little")
+    for _ in range((flags >> 3 & 1) + (flags >> 4 & 1)):  # a name and a comment, each up to a zero byte
+        pos = v.next(_ZERO, pos) + 1
+        if not pos:
+            return 0
+    pos += 2 if flags & 2 else 0
+    d, crc, size, view = zlib.decompressobj(-15), 0, 0, memoryview(b)
     try:
-        view, pos = memoryview(b), at
         while not d.eof and pos < len(b):
-            d.decompress(view[pos : pos + 65536])
-            pos += 65536
+            out = d.decompress(view[pos : pos + _STEP])
+            crc, size, pos = zlib.crc32(out, crc), size + len(out), pos + _STEP
     except zlib.error:
         return 0
-    return min(pos, len(b)) - len(d.unused_data) - at if d.eof else 0
+    end = min(pos, len(b)) - len(d.unused_data)
+    return end + 8 - at if d.eof and b[end : end + 8] == struct.pack("<II", crc, size & 0xFFFFFFFF) else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(v: Value, at: int) -> int:
+    b, end = v.data, v.next(_END_ZIP, at)
     if end < 0 or len(b) < end + 22:
         return 0
     size, start = struct.unpack_from("<II", b, end + 12)
@@ -127,7 +198,7 @@ def _zip(b: bytes, at: int) -> int:
 
 
 #: Magic bytes, media type and validator (length of the valid object at a place, or 0).
-FORMATS: tuple[tuple[bytes, str, Callable[[bytes, int], int]], ...] = (
+FORMATS: tuple[tuple[bytes, str, Callable[[Value, int], int]], ...] = (
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"\xff\xd8\xff", "image/jpeg", _jpeg),
     (b"GIF87a", "image/gif", _gif),
@@ -152,7 +223,9 @@ def _automaton():
         for i, (magic, _, _) in enumerate(FORMATS):
             by.setdefault(magic, []).append(i)
         for magic, which in by.items():
-            a.add_word(magic.decode("latin-1"), (len(magic), tuple(which)))
+            a.add_word(magic.decode("latin-1"), (magic, tuple(which)))
+        for mark in Value(b"").ends:
+            a.add_word(mark.decode("latin-1"), (mark, ()))
         a.make_automaton()
         _machine = a
     return _machine
@@ -161,22 +234,31 @@ def _automaton():
 def sniff(blob: bytes | None, carve: bool = True) -> tuple[str, list[tuple[int, int, str]]]:
     """True type of a value and (offset, length, type) of media embedded in it.
 
-    A valid object at 0 that spans the value, or all of it but trailing bytes,
-    gives the type; null, empty or unknown bytes are application/octet-stream.
+    A valid object at 0 gives the type; null, empty or unknown bytes are
+    application/octet-stream. An object within a carved one isn't carved again.
     """
     if not blob:
         return UNKNOWN, []
-    kind, found = UNKNOWN, []
-    for end, (n, which) in _automaton().iter(blob.decode("latin-1")):
-        at = end - n + 1
+    value, starts = Value(blob), []
+    for end, (magic, which) in _automaton().iter(blob.decode("latin-1")):
+        at = end - len(magic) + 1
+        if which:
+            starts.append((at, which))
+        else:
+            value.ends[magic].append(at)
+    kind, found, over = UNKNOWN, [], 0
+    for at, which in starts:
         if at and not carve:
             break
+        if at < over:
+            continue
         for i in which:
-            if size := FORMATS[i][2](blob, at):
+            if size := FORMATS[i][2](value, at):
                 if at == 0:
                     kind = FORMATS[i][1]
                 else:
                     found.append((at, size, FORMATS[i][1]))
+                    over = at + size
                 break
     return kind, found
 
@@ -243,7 +325,10 @@ def _media(keep: bool):
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
     """For each row the id as ``__id`` and what is read back from its stored form; ``media`` holds that form if asked for.
 
-    A null text is stored like an empty one: 64 zero samples. Equal texts give equal values.
+    A null text is stored like an empty one: 64 zero samples. Equal texts and
+    repeated rows give equal values; very long texts are stored whole, up to the
+    4 GB that a WAV header can tell. An empty table gives an empty result; other
+    columns, whatever their names, aren't read.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_media(keep_media), f"__id {kind}, {_COLUMNS}" + (", media binary" if keep_media else ""))
