@@ -1,8 +1,8 @@
 """Chat formatting: schema fingerprints select declarative mappings.
 
 A record's layout is the set of its nested field paths that any mapping reads;
-other fields don't count. The fingerprint, a hash of that set, picks the mapping
-that turns the layout into canonical turns (role, text); the turns are then
+other fields don't count. The fingerprint, a hash of that set, picks the declared
+mapping that turns the layout, of JSON or of typed columns, into canonical turns (role, text); the turns are then
 written in one template. Marks are
 ``<|im_start|>role<|im_sep|>text<|im_end|>\\n``. Inside roles and texts the
 backslash is doubled and one more is put behind the first character of each
@@ -11,6 +11,8 @@ control string, so no mark can be forged and reading back is exact.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as D
@@ -31,41 +33,66 @@ _WHOLE = """NOT coalesce(schema_of_variant({0}) LIKE 'ARRAY%' AND exists(variant
     p -> try_variant_get(p, '$.text', 'string') IS NULL AND schema_of_variant(p) <> 'STRING'), false)"""
 
 
-def _listed(field: str, role: str, text: str, names: str = "{0}") -> str:
-    """SQL of the turns of a list of messages."""
-    said = f"variant_get(m, '$.{text}', 'variant')"
-    who = names.format(f"variant_get(m, '$.{role}', 'string')")
-    return (f"transform(variant_get(v, '$.{field}', 'array<variant>'), m -> "
-            f"named_struct('role', {who}, 'text', {_CONTENT.format(said)}, 'whole', {_WHOLE.format(said)}))")
-
-
-def _pair(asked: str, answered: str, more: str | None = None) -> str:
-    """SQL of a question, with the field ``more`` behind it, and its answer."""
-    def at(x: str) -> str:
-        return f"variant_get(v, '$.{x}', 'variant')"
-
-    text, whole = _CONTENT.format(at(asked)), _WHOLE.format(at(asked))
-    if more:
-        text, whole = f"concat_ws('\\n\\n', {text}, nullif({_CONTENT.format(at(more))}, ''))", f"{whole} AND {_WHOLE.format(at(more))}"
-    return (f"array(named_struct('role', 'user', 'text', {text}, 'whole', {whole}), "
-            f"named_struct('role', 'assistant', 'text', {_CONTENT.format(at(answered))}, 'whole', {_WHOLE.format(at(answered))}))")
-
-
-_NAMES = "CASE {0} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE {0} END"
-#: Layout: the paths it reads (``[]``: in any item of a list) and the SQL that maps the variant ``v`` to turns.
-LAYOUTS: dict[str, tuple[tuple[str, ...], str]] = {
-    "messages": (("messages", "messages[].content", "messages[].role"), _listed("messages", "role", "content")),
-    "turns": (("turns", "turns[].role", "turns[].text"), _listed("turns", "role", "text")),
-    "from_value": (("conversations", "conversations[].from", "conversations[].value"), _listed("conversations", "from", "value", _NAMES)),
-    "prompt_response": (("prompt", "response"), _pair("prompt", "response")),
-    "prompt_completion": (("completion", "prompt"), _pair("prompt", "completion")),
-    "instruction": (("instruction", "output"), _pair("instruction", "output")),
-    "instruction_input": (("input", "instruction", "output"), _pair("instruction", "output", "input")),
+class Listed(NamedTuple):
+    """Turns are the items of the list ``field``: their ``role``, renamed by ``names``, and ``text``."""
+
+    field: str
+    role: str
+    text: str
+    names: tuple[tuple[str, str], ...] = ()
+
+
+class Said(NamedTuple):
+    """Fixed turns: a role and the fields whose texts, joined by an empty line, it says; fields but the first may be empty."""
+
+    turns: tuple[tuple[str, tuple[str, ...]], ...]
+
+
+#: Layout: the paths it reads (``[]``: in any item of a list) and the mapping to turns.
+LAYOUTS: dict[str, tuple[tuple[str, ...], Listed | Said]] = {
+    "messages": (("messages", "messages[].content", "messages[].role"), Listed("messages", "role", "content")),
+    "turns": (("turns", "turns[].role", "turns[].text"), Listed("turns", "role", "text")),
+    "from_value": (("conversations", "conversations[].from", "conversations[].value"), Listed("conversations", "from", "value", (("human", "user"), ("gpt", "assistant")))),
+    "prompt_response": (("prompt", "response"), Said((("user", ("prompt",)), ("assistant", ("response",))))),
+    "prompt_completion": (("completion", "prompt"), Said((("user", ("prompt",)), ("assistant", ("completion",))))),
+    "instruction": (("instruction", "output"), Said((("user", ("instruction",)), ("assistant", ("output",))))),
+    "instruction_input": (("input", "instruction", "output"), Said((("user", ("instruction", "input")), ("assistant", ("output",))))),
 }
+
+
+def _variant_turns(mapping: Listed | Said) -> Column:
+    """The turns of the variant ``v``, by a mapping."""
+    if isinstance(mapping, Listed):
+        who, said = f"variant_get(m, '$.{mapping.role}', 'string')", f"variant_get(m, '$.{mapping.text}', 'variant')"
+        if mapping.names:
+            who = f"CASE {who} " + " ".join(f"WHEN '{x}' THEN '{y}'" for x, y in mapping.names) + f" ELSE {who} END"
+        return F.expr(f"transform(variant_get(v, '$.{mapping.field}', 'array<variant>'), m -> "
+                      f"named_struct('role', {who}, 'text', {_CONTENT.format(said)}, 'whole', {_WHOLE.format(said)}))")
+    turns = []
+    for role, fields in mapping.turns:
+        at = [f"variant_get(v, '$.{x}', 'variant')" for x in fields]
+        texts, whole = [_CONTENT.format(x) for x in at], " AND ".join(_WHOLE.format(x) for x in at)
+        text = texts[0] if len(at) == 1 else f"concat_ws('\\n\\n', {texts[0]}, " + ", ".join(f"nullif({x}, '')" for x in texts[1:]) + ")"
+        turns.append(f"named_struct('role', '{role}', 'text', {text}, 'whole', {whole})")
+    return F.expr(f"array({', '.join(turns)})")
+
+
+def _typed_turns(mapping: Listed | Said, at: Column) -> Column:
+    """The turns of a struct with string fields, by a mapping."""
+    turn = lambda role, text: F.struct(role.alias("role"), text.alias("text"))
+    if isinstance(mapping, Listed):
+        def renamed(role: Column) -> Column:
+            for x, y in mapping.names:
+                role = F.when(role == x, y).otherwise(role)
+            return role
+
+        return F.transform(at[mapping.field], lambda m: turn(renamed(m[mapping.role]), m[mapping.text]))
+    said = lambda fields: at[fields[0]] if len(fields) == 1 else F.concat_ws("\n\n", at[fields[0]], *[F.nullif(at[x], F.lit("")) for x in fields[1:]])
+    return F.array(*[turn(F.lit(role), said(fields)) for role, fields in mapping.turns])
+
+
 #: Lists without an item have none of the inner paths.
 EMPTY = {"messages": "messages", "turns": "turns", "conversations": "from_value"}
-#: Bytes of a record below which no limit of the JSON parser (20,000,000 characters a string, 128 MB a variant) can be met.
-SAFE_BYTES = 20_000_000
 
 
 def _holds(path: str) -> Column:
@@ -76,7 +103,7 @@ def _holds(path: str) -> Column:
     return F.expr(f"try_variant_get(v, '$.{path}', 'variant') IS NOT NULL" + (f" AND schema_of_variant(variant_get(v, '$.{path}', 'variant')) LIKE 'ARRAY%'" if path in EMPTY else ""))
 
 
-def field_paths(layouts: dict[str, tuple[tuple[str, ...], str]]) -> Column:
+def field_paths(layouts: dict[str, tuple[tuple[str, ...], Listed | Said]]) -> Column:
     """The sorted paths of the variant ``v`` that any of these layouts reads, joined by commas."""
     every = sorted({p for paths, _ in layouts.values() for p in paths})
     return F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(_holds(p), F.lit(False)), F.lit(p)) for p in every])), ",")
@@ -86,7 +113,7 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(paths)
 
 
-def canonical_turns(records: DataFrame, json_col: str = "record", layouts: dict[str, tuple[tuple[str, ...], str]] | None = None) -> DataFrame:
+def canonical_turns(records: DataFrame, json_col: str = "record", layouts: dict[str, tuple[tuple[str, ...], Listed | Said]] | None = None) -> DataFrame:
     """``records`` plus ``layout``, ``turns`` and ``error``.
 
     Fields that no layout reads are ignored. A content may be a list of parts
@@ -94,22 +121,20 @@ def canonical_turns(records: DataFrame, json_col: str = "record", layouts: dict[
     messages gives no turns and is no error. Any other record has a null layout,
     no turns and says why in ``error``: ``null record``, ``not JSON``, ``not an
     object``, ``a part without text`` (in a list of parts, as an image) or
-    ``unknown layout:`` and the known paths that it has. A record of ``SAFE_BYTES`` or more that can't be parsed is an error
-    of the job, as it may be JSON that is too large for the parser;
-    ``format_rows`` has no such limit. A column with an output's name comes back with ``_input`` behind it.
+    ``unknown layout:`` and the known paths that it has. JSON beyond the limits of Spark's parser (20,000,000 signs a
+    string, 128 MB a record) can't be told from other texts and is ``not JSON`` too; ``format_rows`` has no such limit. A column with an output's name comes back with ``_input`` behind it.
     Repeated rows get equal results; an empty table gives an empty one.
     """
     layouts = LAYOUTS if layouts is None else layouts
     names = ["layout", "turns", "error", "formatted", "loss_spans"]
     at = records.select(packed(records.columns, names), column(json_col).alias("j"))
-    lost = F.raise_error(F.concat(F.lit("a record can't be parsed, bytes: "), F.octet_length("j"))).cast("variant")
-    at = at.withColumn("v", F.coalesce(F.try_parse_json("j"), F.when(F.octet_length("j") >= SAFE_BYTES, lost)))
+    at = at.withColumn("v", F.try_parse_json("j"))
     at = at.withColumn("paths", field_paths(layouts)).withColumn("fp", fingerprint(F.col("paths")))
     kind = "array<struct<role:string,text:string,whole:boolean>>"
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(kind)
-    for key, (paths, sql) in layouts.items():
+    for key, (paths, mapping) in layouts.items():
         hit = F.col("fp") == fingerprint(F.lit(",".join(sorted(paths))))
-        name, turns = F.when(hit, F.lit(key)).otherwise(name), F.when(hit, F.expr(sql).cast(kind)).otherwise(turns)
+        name, turns = F.when(hit, F.lit(key)).otherwise(name), F.when(hit, _variant_turns(mapping).cast(kind)).otherwise(turns)
     for field, key in EMPTY.items():
         if key in layouts:
             none = (F.col("fp") == fingerprint(F.lit(field))) & F.expr(f"size(try_variant_get(v, '$.{field}', 'array<variant>')) = 0")
@@ -188,17 +213,31 @@ def records_of(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return messages_of(rows, id_col).select(id_col, F.to_json(F.struct("messages")).alias("record"))
 
 
+def typed_turns(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """``rows`` plus ``layout`` and ``turns`` of typed columns ``fields``: the fingerprint of their nested paths selects the mapping.
+
+    Null roles and texts become empty. A type that no layout reads is an error.
+    """
+    typed = D.StructType([rows.schema[f] for f in fields])
+    paths = sorted(_schema_paths(typed))
+    at = rows.withColumn("fp", fingerprint(F.lit(",".join(paths))))
+    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for key, (known, mapping) in LAYOUTS.items():
+        if set(known) <= set(paths):  # others can't be built on these columns
+            hit = F.col("fp") == fingerprint(F.lit(",".join(sorted(known))))
+            name, turns = F.when(hit, F.lit(key)).otherwise(name), F.when(hit, _typed_turns(mapping, F.struct(*[column(f) for f in fields]))).otherwise(turns)
+    none = F.raise_error(F.lit("unknown layout: " + ",".join(paths)))
+    clean = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    return at.withColumns({"layout": F.coalesce(name, none.cast("string")), "turns": clean}).drop("fp")
+
+
 def format_rows(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(id, ``layout``, ``turns``, ``formatted``, ``loss_spans``) of each conversation's rows; the fingerprint of their schema selects the layout.
+    """(id, ``layout``, ``turns``, ``formatted``, ``loss_spans``) of each conversation's rows; the fingerprint of their schema selects the mapping.
 
     Nothing is written as JSON, so neither a long text nor a long conversation meets the parser's limits. Columns of
     ``rows`` other than the id, turn, role and text aren't looked at; an empty table gives an empty result.
     """
-    at = messages_of(rows, id_col)
-    paths = sorted(_schema_paths(D.StructType([at.schema["messages"]])))
-    layout = next(k for k, (known, _) in LAYOUTS.items() if sorted(known) == paths)
-    turns = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("text")))
-    at = at.select(id_col, F.lit(layout).alias("layout"), turns.alias("turns"))
+    at = typed_turns(messages_of(rows, id_col), ["messages"]).select(id_col, "layout", "turns")
     return at.withColumns({"formatted": render(F.col("turns")), "loss_spans": loss_spans(F.col("turns"))})
 
 
