@@ -5,6 +5,8 @@ import hashlib
 import heapq
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -13,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.llm import queries, spelling, structure_repair, warc
+from lexmill.llm import chat, html_extract, media, queries, spelling, structure_repair, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -329,3 +331,135 @@ def test_query_op13(spark, source, tmp_path):
     want = {r[0]: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest()) for r in rows} | brute_report(brute_damage(rows))
     out = queries.op13_structure_repair(spark, at).collect()
     assert {r[0]: tuple(r[1:]) for r in out} == want and len(out) == len(want)
+
+
+# ------------------------------------------------------------------------- HTML
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article class=card>teaser</article><main><h1>Real</h1><p>long main text</p></main>", ["Real", "long main text"]),
+    ("<main><article>one</article><p>between</p><article>two</article></main>", ["one", "between", "two"]),
+    ("<main><h1>T</h1></main><article>the longer article</article>", ["T", "the longer article"]),
+    ("<main><section id='notices'><p>court notices of 1900</p></section></main>", ["court notices of 1900"]),
+    ("<article>x<div class='social'><p>Social history: smoker</p></div><p class='ad'>A.D. 70</p></article>", ["x", "Social history: smoker", "A.D. 70"]),
+    ("<article>x<div class='social'><a href=a>one</a> <a href=b>two</a></div><div class='share-links'>y</div><div class=ad>z</div><section class=comments>c</section></article>", ["x"]),
+    ("<article class=card>teaser</article><div><p>the page itself, which marks nothing</p></div>", []),
+    ("<article><x-box class=notice>a <i>b</i></x-box>c</article>", ["a b", "c"]),
+])
+def test_main_text_is_weighed(page, want):
+    assert html_extract.parse(page)[0] == want
+
+
+@pytest.mark.parametrize("part", ["<i>", "</b>", "<i></b>", "<li>", "<p><i>", "<i><li></li>", "<p><div><i><p></p>", "<a '>", "<!--", "<a x='", "<table><tr><td>", "&amp", "<div class=notice>"])
+def test_long_odd_pages_take_linear_time(part):
+    began = time.process_time()
+    html_extract.parse("<i>" * 20_000 + part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 8  # quadratic scans took minutes
+
+
+def brute_extract(rows):
+    """A plain suffix array for each host over the tokens of unmarked pages."""
+    hosts = defaultdict(dict)
+    for host, blocks in rows:
+        stream = tuple((i, w) for i, b in enumerate(blocks) for w in b.split())
+        hosts[host][tuple(w for _, w in stream)] = stream
+    out = {}
+    for host, streams in hosts.items():
+        suffixes = sorted((words[p:], k, p) for k, words in enumerate(streams) for p in range(len(words)))
+        gone, lo = defaultdict(set), 0
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        for hi in range(1, len(suffixes) + 1):
+            if hi == len(suffixes) or common(suffixes[hi - 1][0], suffixes[hi][0]) < html_extract.RUN:
+                group = [x for x in suffixes[lo:hi] if len(x[0]) >= html_extract.RUN]
+                pages = {k for _, k, _ in group}
+                if len(pages) >= html_extract.LEAST_PAGES and len(pages) >= html_extract.LEAST_SHARE * len(streams):
+                    for _, k, p in group:
+                        gone[k].update(range(p, p + html_extract.RUN))
+                lo = hi
+        for k, (words, stream) in enumerate(streams.items()):
+            by = defaultdict(list)
+            for p, (b, w) in enumerate(stream):
+                if p not in gone[k]:
+                    by[b].append(w)
+            out[host, words] = "\n".join(" ".join(by[b]) for b in sorted(by))
+    return out
+
+
+def test_unmarked_pages_equal_a_suffix_array(spark):
+    rng = random.Random(12)
+    boiler = [" ".join(f"b{k}_{rng.randrange(3)}" for _ in range(rng.randrange(6, 20))) for k in range(3)]
+    rows = []
+    for i in range(120):
+        blocks = [rng.choice(boiler) if rng.random() < 0.7 else " ".join(f"u{rng.randrange(4)}" for _ in range(rng.randrange(1, 16))) for _ in range(rng.randrange(1, 7))]
+        rows.append((f"h{i % 5}", blocks))
+    rows += rows[:9]
+    want = brute_extract(rows)
+    df = spark.createDataFrame([(i, f"http://{h}/", "".join(f"<p>{b}</p>" for b in bs)) for i, (h, bs) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == {i: want[h, tuple(w for b in bs for w in b.split())] for i, (h, bs) in enumerate(rows)}
+    assert sum(len(t) for t in got.values()) < sum(len("\n".join(bs)) for _, bs in rows)
+
+
+def test_open_boxes_are_settled_by_the_host(spark):
+    page = lambda i, box: f"<article><h1>Title {i}</h1><div class='notice'>{box}</div><p>own text of page {i}</p></article>"
+    rows = [(i, "http://a/", page(i, "short notice")) for i in range(4)] + [(9, "http://a/", page(9, "its own remark"))] + [(20 + i, "http://b/", page(i, f"remark {i}")) for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nown text of page {i}" for i in range(4)} | {9: "Title 9\nits own remark\nown text of page 9"} | {20 + i: f"Title {i}\nremark {i}\nown text of page {i}" for i in range(4)}
+
+
+# ------------------------------------------------------------------------ media
+@pytest.mark.parametrize("part", [b"PK\x03\x04", b"%PDF-", b"%PDF-startxref", b"\xff\xd8\xff", b"\xff\xd8\xff\xe0\x00\x05\xff\xd8\xff", b"GIF89a" + bytes(8) + b",", b"GIF87a\x21\x01\x01", b"RIFF\x10\x00\x00\x00WAVE",
+                                  b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + bytes(17), b"BM", b"\x1f\x8b\x08", b"PK\x05\x06PK\x03\x04", b"%%EOF%PDF-"])
+def test_repeated_magics_take_linear_time(part):
+    began = time.process_time()
+    media.sniff(b"x" + part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 4
+
+
+def test_carving_takes_outermost_objects():
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", b"GIF89a") + chunk(b"IEND", b"")
+    wav = media.store(b"x" * 10 + png)[0]
+    pdf = b"%PDF-1 " + png + b" startxref 0 %%EOF"
+    assert media.sniff(b"ab" + png + png) == (media.UNKNOWN, [(2, len(png), "image/png"), (2 + len(png), len(png), "image/png")])
+    assert media.sniff(b"ab" + pdf) == (media.UNKNOWN, [(2, len(pdf), "application/pdf")])
+    assert media.sniff(pdf) == ("application/pdf", [(7, len(png), "image/png")]) and media.sniff(wav)[1] == [(54, len(png), "image/png")]
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x03xdata\xff\xd9"
+    assert media.sniff(b"-" + jpeg + b"-" + jpeg)[1] == [(1, len(jpeg), "image/jpeg"), (2 + len(jpeg), len(jpeg), "image/jpeg")]
+    assert media.sniff(b"-" + jpeg[:-2])[1] == [] and media.sniff(b"-" + png[:-5] + b"x" + png[-4:])[1] == []
+
+
+# ------------------------------------------------------------------------- chat
+def test_rows_are_formatted_by_the_declared_mapping(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], TURNS)
+    turns = lambda: [(t.role, t.text) for t in chat.format_rows(rows).first().turns]
+    assert turns() == [("user", "q"), ("assistant", "a")]
+    paths, _ = chat.LAYOUTS["messages"]
+    monkeypatch.setitem(chat.LAYOUTS, "messages", (paths, chat.Listed("messages", "content", "role")))
+    assert turns() == [("q", "user"), ("a", "assistant")]
+    monkeypatch.setitem(chat.LAYOUTS, "messages", (("messages",), chat.Listed("messages", "role", "content")))
+    with pytest.raises(Exception, match="unknown layout: messages"):
+        turns()
+
+
+def test_typed_columns_of_every_layout(spark):
+    s = "string"
+    cases = {
+        "from_value": (f"conversations array<struct<from:{s},value:{s}>>", ([("human", "h"), ("gpt", None), ("x", "y")],), [("user", "h"), ("assistant", ""), ("x", "y")]),
+        "prompt_response": (f"prompt {s}, response {s}", ("p", None), [("user", "p"), ("assistant", "")]),
+        "instruction_input": (f"instruction {s}, input {s}, output {s}", ("i", "n", "o"), [("user", "i\n\nn"), ("assistant", "o")]),
+        "turns": (f"turns array<struct<text:{s},role:{s}>>", ([("t", "user")],), [("user", "t")]),
+    }
+    for layout, (kind, row, want) in cases.items():
+        df = spark.createDataFrame([row], kind)
+        r = chat.typed_turns(df, df.columns).first()
+        assert (r.layout, [(t.role, t.text) for t in r.turns]) == (layout, want)
+
+
+def test_no_rows_to_format(spark):
+    assert chat.format_rows(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_a_long_text_that_is_no_json_is_told(spark):
+    df = spark.createDataFrame([(1, "x"), (2, '{"prompt":"p","response":"r"}')], "i int, record string").withColumn("record", F.when(F.col("i") == 1, F.repeat(F.lit("x"), 21_000_000)).otherwise(F.col("record")))
+    assert {r.i: (r.layout, r.error) for r in chat.canonical_turns(df).select("i", "layout", "error").collect()} == {1: (None, "not JSON"), 2: ("prompt_response", None)}
