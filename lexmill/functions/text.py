@@ -398,10 +398,15 @@ def title_from_url(c: Column) -> Column:
 
 
 def strip_references(c: Column) -> Column:
-    """Text before its last reference heading."""
-    t = blank(c)
-    first = F.regexp_replace(t, r"(?isu)^(.*)\n\s*TÀI LIỆU THAM KHẢO\s*\n.*$", "$1")
-    return F.when(first != t, first).otherwise(F.regexp_replace(t, r"(?isu)^(.*)\n\s*REFERENCES\s*\n.*$", "$1"))
+    """Text before its last reference heading; headings are found from the left, so one that shares its line end with the one before isn't another."""
+
+    def before(t: Column, name: str) -> Column:
+        pattern = rf"(?iu)\n\s*{name}\s*\n"
+        both = F.struct(F.split(t, pattern).alias("parts"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found"))
+        cut = let(both, lambda x: F.when(F.size(x["found"]) > 0, F.left(t, F.char_length(t) - F.char_length(F.element_at(x["parts"], -1)) - F.char_length(F.element_at(x["found"], -1)))))
+        return F.when(F.contains(F.upper(t), F.lit(name)), cut)  # most texts have none, and a look is cheaper than the pattern
+
+    return let(blank(c), lambda t: F.coalesce(before(t, "TÀI LIỆU THAM KHẢO"), before(t, "REFERENCES"), t))
 
 
 def phrase_present(phrase: Column, text: Column) -> Column:
