@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .cleaning import nfc
 from .evidence import RISKY, extractive, sentence_candidate
 from .ranking import keywords, words
 from .text import acronyms, blank, fold, let, phrases, query_terms, title_norm
@@ -157,8 +158,8 @@ def evidence_phrases(query: Column) -> Column:
 
 
 def concepts(text: Column) -> Column:
-    """C14: known compounds, triples and loan words of a text, distinct, in that order."""
-    t = F.lower(F.regexp_replace(blank(text), r"^\s+|\s+$", ""))
+    """C14: known compounds, triples and loan words of a text with composed letters, distinct, in that order."""
+    t = nfc(F.lower(F.regexp_replace(blank(text), r"^\s+|\s+$", "")))
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[\"'\[\](){}?!,;:…]", " "), r"\s+", " "))
 
     def grams(w: Column, n: int, known: list[str]) -> Column:

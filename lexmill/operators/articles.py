@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import weak_title
 from ..functions.ranking import keywords, words
 from ..functions.text import acronyms, blank, estimate_tokens, let, stable_text_hash, title_norm
+from .lineage import kept
 
 
 def group_key(chunk_id: Column, title: Column, source: Column, url: Column, article_id: Column, doc_id: Column) -> Column:
@@ -108,38 +109,61 @@ def identity_chunks(wanted: DataFrame, chunks: DataFrame, by: str = "candidate")
     return hits.join(best, [by, "rung"]).select(by, "chunk_id", "rung")
 
 
-def article_chunks(articles: DataFrame, chunks: DataFrame, chunk_score: Column, per_article: int = 3, by: str = "query_id") -> DataFrame:
-    """For each found article (``by``, article_key, score) its best chunks, scored 0.62 + the article's score + ``chunk_score``."""
-    rows = articles.join(chunks, "article_key").withColumn("chunk_rank_score", F.round(0.62 + F.col("score") + chunk_score, 6))
-    rank = F.row_number().over(Window.partitionBy(by, "article_key").orderBy(F.desc("chunk_rank_score"), "chunk_id"))
+def article_chunks(articles: DataFrame, chunks: DataFrame, bonus: Column, per_article: int = 3, by: str = "query_id") -> DataFrame:
+    """For each found article (``by``, article_key, score) its best chunks by ``bonus``, of equal ones the first by id.
+
+    A chunk's score is 0.62 and the article's; the bonus only orders. Chunks without text are left out.
+    """
+    rows = articles.join(chunks.where(F.trim(blank(F.col("text"))) != ""), "article_key").withColumns({"chunk_rank_score": F.round(0.62 + F.col("score"), 6), "bonus": bonus})
+    rank = F.row_number().over(Window.partitionBy(by, "article_key").orderBy(F.desc("bonus"), "chunk_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= per_article)
 
 
-def expand_primary(primary: DataFrame, chunks: DataFrame, score: Column, most: int = 8, budget: int = 2400, by: str = "query_id") -> DataFrame:
-    """The primary article's chunks, each text once, best first, as many as fit the budget of tokens; one that doesn't fit is skipped.
+def expand_primary(primary: DataFrame, chunks: DataFrame, bonus: Column, most: int = 8, budget: int = 2400, by: str = "query_id") -> DataFrame:
+    """(``by``, kept, used): the primary article's chunks, best first, as many as fit the budget of tokens; one that doesn't fit is skipped.
 
-    The greedy fold runs over at most ``4 * most`` best chunks of a question's one article, so no task holds more.
-    """
-    rows = primary.join(chunks, "article_key").withColumn("bonus", score)
-    first = rows.withColumn("h", stable_text_hash(F.col("text"))).groupBy(by, "h").agg(F.max_by(F.struct("chunk_id", "bonus", "text"), F.struct("bonus", F.col("chunk_id"))).alias("c")).select(by, "c.*")
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("bonus"), "chunk_id"))
-    some = first.withColumn("r", rank).where(F.col("r") <= 4 * most)
-    listed = some.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("r", "chunk_id", estimate_tokens(F.col("text")).alias("n")))).alias("l"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
+    ``chunks(article_key, chunk_id, text, score, chunk_index)``: those with a
+    score were retrieved and all take part, the others are their siblings and
+    take part if they have text that none before them has. The order is bonus,
+    score (0 for siblings), the lesser chunk_index, chunk_id. If nothing fits,
+    the retrieved chunks are kept as they are. A budget of 0 is none.
 
-    def take(x: Column, c: Column) -> Column:
-        fits = (x["used"] + c["n"] <= budget) & (F.size(x["kept"]) < most)
-        return F.when(fits, F.struct((x["used"] + c["n"]).cast("long").alias("used"), F.concat(x["kept"], F.array(c["chunk_id"].cast("string"))).alias("kept"))).otherwise(x)
-
-    return listed.select(by, F.aggregate("l", start, take).alias("x")).select(by, "x.kept", "x.used")
+    What is skipped once never fits again, as the budget only shrinks; so the
+    next chunk to take is the first behind the last one that fits what is left,
+    and ``most`` rounds of a join with one row a question and a minimum find
+    them all. No article's chunks come together, whatever their number.
+    """
+    own = F.col("score").isNotNull()
+    rows = primary.join(chunks, "article_key").withColumns({"__own": own, "__h": stable_text_hash(F.col("text"))}).withColumn("__bonus", bonus)
+    key = F.struct((-F.col("__bonus")).alias("bonus"), (-F.coalesce("score", F.lit(0.0))).alias("score"), F.coalesce("chunk_index", F.lit(0)).alias("index"), F.col("chunk_id").cast("string").alias("chunk_id"))
+    small = rows.select(by, "__own", "__h", (F.trim(blank(F.col("text"))) == "").alias("__blank"), key.alias("key"), estimate_tokens(F.col("text")).cast("long").alias("n"))
+    retrieved = small.where("__own")
+    said = retrieved.select(by, "__h").distinct()
+    one = F.min(F.struct(F.col("key.index"), F.col("key.chunk_id"), "key", "n")).alias("x")
+    siblings = small.where("not __own and not __blank").join(said, [by, "__h"], "left_anti").groupBy(by, "__h").agg(one).select(by, "x.key", "x.n")
+    every = kept(retrieved.select(by, "key", "n").unionAll(siblings))
+    state = every.groupBy(by).agg(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"), F.lit(None).cast(every.schema["key"].dataType).alias("last"))
+    for _ in range(most):
+        fits = F.lit(budget == 0) | (F.col("used") + F.col("n") <= budget)
+        step = every.join(state.select(by, "used", "last"), by).where(fits & (F.col("last").isNull() | (F.col("key") > F.col("last"))))
+        new = step.groupBy(by).agg(F.min(F.struct("key", "n")).alias("x"))
+        state = kept(state.join(new, by, "left").select(
+            by, (F.col("used") + F.coalesce("x.n", F.lit(0))).alias("used"), F.when(F.col("x").isNull(), F.col("kept")).otherwise(F.concat("kept", F.array("x.key.chunk_id"))).alias("kept"), F.coalesce("x.key", "last").alias("last")))
+        if new.isEmpty():
+            break
+    nothing = state.where(F.size("kept") == 0).select(by)
+    whole = retrieved.join(nothing, by).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("key.index"), F.col("key.chunk_id")))).alias("l"), F.sum("n").alias("n"))
+    return state.join(whole, by, "left").select(by, F.when(F.col("l").isNull(), F.col("kept")).otherwise(F.transform("l", lambda x: x["chunk_id"])).alias("kept"), F.coalesce("n", "used").alias("used"))
 
 
 def multi_axis(hits: DataFrame, budget: int, by: str = "question") -> DataFrame:
-    """Hits (``by``, axis, chunk_id, text, score) of a question's sub-queries: each text once, first axis first, by score, until the budget is spent.
+    """Hits (``by``, axis, chunk_id, text, score) of a question's sub-queries: each text once, from the first axis that has it and there
+    by score, then all by score until the budget is spent.
 
     Sub-queries and their hits are bounded by the top-k that made them.
     """
-    rows = hits.withColumn("h", stable_text_hash(F.col("text"))).groupBy(by, "h").agg(F.min_by(F.struct("axis", "chunk_id", "text", "score"), F.struct("axis", "chunk_id")).alias("c")).select(by, "c.*")
-    order = Window.partitionBy(by).orderBy(F.desc("score"), "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.struct("axis", (-F.col("score")).alias("less"), "chunk_id")
+    rows = hits.withColumn("h", stable_text_hash(F.col("text"))).groupBy(by, "h").agg(F.min_by(F.struct("axis", "chunk_id", "text", "score"), first).alias("c")).select(by, "c.*")
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "axis", "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
     spent = rows.withColumn("n", estimate_tokens(F.col("text"))).withColumn("spent", F.sum("n").over(order))
     return spent.where(F.col("spent") <= budget).select(by, "axis", "chunk_id", "score", "spent")

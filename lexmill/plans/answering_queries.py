@@ -269,7 +269,7 @@ def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("j14_article_chunks", f"""WITH {_C}, k AS (SELECT *, {_KEY} AS article_key FROM ch), a AS (SELECT article_key, round(count(*) / 10.0, 4)::DOUBLE AS score FROM k GROUP BY 1)
-SELECT article_key, chunk_id, round((0.62 + score + 1.0 / (2 + pos % 9))::DOUBLE, 6) AS chunk_rank_score, row_number() OVER (PARTITION BY article_key ORDER BY round((0.62 + score + 1.0 / (2 + pos % 9))::DOUBLE, 6) DESC, chunk_id)::INT AS rank FROM k JOIN a USING (article_key) QUALIFY rank <= 3""")
+SELECT article_key, chunk_id, round((0.62 + score)::DOUBLE, 6) AS chunk_rank_score, row_number() OVER (PARTITION BY article_key ORDER BY pos % 9, chunk_id)::INT AS rank FROM k JOIN a USING (article_key) WHERE trim(text) <> '' QUALIFY rank <= 3""")
 def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _keyed(spark, sf_dir)
     found = at.groupBy("article_key").agg(F.round(F.count(F.lit(1)) / 10.0, 4).alias("score")).withColumn("query_id", F.lit(0))
@@ -316,14 +316,14 @@ def f39(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("j15_expand_primary")
 def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J15 over all articles as primary ones; held against brute force in tests."""
-    at = _keyed(spark, sf_dir)
+    """J15 over all articles as primary ones, every fourth chunk retrieved; held against brute force in tests."""
+    at = _keyed(spark, sf_dir).withColumns({"score": F.when(F.col("pos") % 4 == 0, (F.col("pos") % 7) / 7.0), "chunk_index": F.col("pos").cast("int")})
     primary = at.where("article_id <> ''").select("article_key").distinct().withColumn("query_id", F.col("article_key"))
-    return R.expand_primary(primary, at.select("article_key", "chunk_id", "text", "pos"), 1.0 / (2 + F.col("pos") % 9)).select("query_id", F.array_join("kept", ",").alias("kept"), "used")
+    return R.expand_primary(primary, at.select("article_key", "chunk_id", "text", "score", "chunk_index", "pos"), 1.0 / (2 + F.col("pos") % 9)).select("query_id", F.array_join("kept", ",").alias("kept"), "used")
 
 
 @register("j17_multi_axis", f"""WITH {_C}, h AS (SELECT pos // 20 AS question, (pos % 3)::INT AS axis, chunk_id, text, round((1.0 / (2 + pos % 9))::DOUBLE, 6) AS score, sha256({sq('lower(text)')}) AS t FROM ch),
-f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY question, t ORDER BY axis, chunk_id) = 1), s AS (SELECT *, sum(CASE WHEN text = '' THEN 0 ELSE greatest(1, len(text) // 4) END) OVER (PARTITION BY question ORDER BY score DESC, chunk_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM f)
+f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY question, t ORDER BY axis, score DESC, chunk_id) = 1), s AS (SELECT *, sum(CASE WHEN text = '' THEN 0 ELSE greatest(1, len(text) // 4) END) OVER (PARTITION BY question ORDER BY score DESC, axis, chunk_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM f)
 SELECT question, axis, chunk_id, score, spent FROM s WHERE spent <= 4000""")
 def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _chunks(spark, sf_dir)
