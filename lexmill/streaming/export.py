@@ -20,6 +20,8 @@ RECORD = (
 )
 CHUNK = "id string, doc_id string, article_id string, title string, section_title string, section_type string, chunk_role string, heading_path string, chunk_index int, quality_status string, text string, seen_at timestamp, source_file string"
 
+_NAMES = [c.split()[0] for c in CHUNK.split(", ")]
+
 
 def record_stream(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFrame:
     """Records of JSON lines files that arrive in a folder, with the file's name and time."""
@@ -59,17 +61,18 @@ def _number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     if state.hasTimedOut:
         state.remove()
         return
-    seen = state.get[0] if state.exists else 0
+    seen, latest = state.get[0] if state.exists else 0, 0
     for rows in batches:
-        rows = rows.copy()
+        latest = max(latest, int(rows["__ms"].max()))
+        rows = rows[_NAMES].copy()
         rows["id"] = [i if n == 0 else f"{i}_{n}" for n, i in enumerate(rows["id"], seen)]
         seen += len(rows)
         yield rows
     state.update((seen,))
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + _KEPT_MS)
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), latest) + _KEPT_MS)
 
 
-#: How long an id that came once is remembered behind the watermark.
+#: How long an id is remembered behind the time it last came at, by the watermark.
 _KEPT_MS = 24 * 3600 * 1000
 
 
@@ -88,5 +91,5 @@ def export_chunks(records: DataFrame, least_status: str = "hold", repeats: str =
         return chunks.dropDuplicatesWithinWatermark(["id"])
     if repeats != "number":
         raise ValueError("repeats is number or drop")
-    numbered = chunks.withColumn("__id", F.col("id")).groupBy("__id").applyInPandasWithState(_number, CHUNK, "n long", "append", GroupStateTimeout.EventTimeTimeout)
+    numbered = chunks.withColumns({"__id": F.col("id"), "__ms": F.unix_millis("seen_at")}).groupBy("__id").applyInPandasWithState(_number, CHUNK, "n long", "append", GroupStateTimeout.EventTimeTimeout)
     return numbered
