@@ -26,6 +26,8 @@ from .common import column, key_of, lean, mix, packed, parts, runs, shuffle_part
 
 #: Bytes of distinct packed strings that a map task holds before it sends them on.
 HOLD_BYTES = 24 << 20
+#: Places of repeated strings that it holds, some 200 bytes each.
+HOLD_LATE = 100_000
 _MM = 3
 _PACKED = "bucket int, docs binary, marks binary, starts binary, ends binary, words binary"
 _SPANS = "__d long, __m long, __s int, __e int"
@@ -108,7 +110,10 @@ def _pack(window: int, buckets: int):
                     elif x != old:
                         again.append((words, x))
                         held += e - s + 160
-                if held > HOLD_BYTES or len(late) > 1_000_000:
+                if len(late) > HOLD_LATE:
+                    yield from flush({}, [], late)
+                    late = []
+                if held > HOLD_BYTES:
                     yield from flush(seen, again, late)
                     seen, again, late, held = {}, [], [], 0
         yield from flush(seen, again, late)
