@@ -122,8 +122,8 @@ def article_chunks(articles: DataFrame, chunks: DataFrame, bonus: Column, per_ar
 def expand_primary(primary: DataFrame, chunks: DataFrame, bonus: Column, most: int = 8, budget: int = 2400, by: str = "query_id") -> DataFrame:
     """(``by``, kept, used): the primary article's chunks, best first, as many as fit the budget of tokens; one that doesn't fit is skipped.
 
-    ``chunks(article_key, chunk_id, text, score, chunk_index)``: those with a
-    score were retrieved and all take part, the others are their siblings and
+    ``chunks(article_key, chunk_id, text, score, chunk_index)``, the last two if
+    known: those with a score were retrieved and all take part, the others are their siblings and
     take part if they have text that none before them has. The order is bonus,
     score (0 for siblings), the lesser chunk_index, chunk_id. If nothing fits,
     the retrieved chunks are kept as they are. A budget of 0 is none.
@@ -133,6 +133,8 @@ def expand_primary(primary: DataFrame, chunks: DataFrame, bonus: Column, most: i
     and ``most`` rounds of a join with one row a question and a minimum find
     them all. No article's chunks come together, whatever their number.
     """
+    for name, kind in (("score", "double"), ("chunk_index", "int")):
+        chunks = chunks if name in chunks.columns else chunks.withColumn(name, F.lit(None).cast(kind))
     own = F.col("score").isNotNull()
     rows = primary.join(chunks, "article_key").withColumns({"__own": own, "__h": stable_text_hash(F.col("text"))}).withColumn("__bonus", bonus)
     key = F.struct((-F.col("__bonus")).alias("bonus"), (-F.coalesce("score", F.lit(0.0))).alias("score"), F.coalesce("chunk_index", F.lit(0)).alias("index"), F.col("chunk_id").cast("string").alias("chunk_id"))

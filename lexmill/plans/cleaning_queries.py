@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as L
+from ..functions import quarantine as Q
 from ..functions import rewriting as W
 from ..operators import sectionizers as S
 from .registry import REC, records, register
@@ -126,3 +127,31 @@ def t71(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = records(spark, sf_dir).select("doc_id", "body", "title", F.slice(wanted, 1, 70).alias("concepts"))
     chosen = W.choose_short_answer(F.col("title"), F.col("body"), F.col("concepts"), F.col("doc_id") % 4 > 0)
     return at.select("doc_id", F.md5(W.greedy_cover(F.col("body"), F.col("concepts"))).alias("cover_md5"), chosen.alias("x")).select("doc_id", "cover_md5", F.md5("x.answer").alias("answer_md5"), "x.strategy", "x.before", "x.after")
+
+
+# ------------------------------------------------------------------ quarantine
+_FILES = ["dav_gov", "kcb_moh", "who_vietnam", "vien_dinh_duong", "vmj_ojs", "other"]
+_LINKS = ["", "http://x.org/gioi-thieu/a", "http://x.org/news/some-long-slug-of_words.html", "http://x.org/SITE-MAP"]
+_MORE = ["", "Tải xuống\n01/02/2020\ndownload\n1/2/2021 10:00:00\nTai xuong\n3/4/2022", "Ký bởi: A\nCơ quan: B\nNgày ký: C", "Phần một ........ 7\nDownload\nDownload\nDownload\n1/1/2020\n1/1/2020\n1/1/2020"]
+
+
+def _of(values: list[str], n: int) -> str:
+    return f"{quoted(values)}[(doc_id // {n} % {len(values)} + 1)::INT]"
+
+
+def _pick(values: list[str], n: int) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(F.col("doc_id") / n) % len(values) + 1).cast("int"))
+
+
+_LN = "list_filter(list_transform((string_split(t, chr(10)))[:80], lambda x: trim(x)), lambda x: x <> '')"
+
+
+@register("f23_f25_quarantine", f"""WITH {REC}, r AS (SELECT doc_id, {_of(_FILES, 1)} AS s, CASE WHEN doc_id % 5 = 0 THEN 'Xem chi tiết' ELSE title END AS title, {_of(_LINKS, 6)} AS u, {_of(_MORE, 2)} || chr(10) || CASE WHEN doc_id % 3 = 0 THEN body ELSE '' END AS t FROM rec),
+l AS (SELECT *, {_LN} AS ls FROM r), x AS (SELECT *, len(list_filter(ls, lambda x: lower(x) IN ('tải xuống', 'tai xuong', 'download'))) >= 3 AND len(list_filter(ls, lambda x: regexp_full_match(x, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}( +[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}})?'))) >= 3
+  AND len(list_filter(ls, lambda x: regexp_matches(x, '[.]{{6,}}\\s*[0-9]+\\s*$') OR regexp_matches(x, '(?i)^\\s*([0-9]+|[IVXLC]+)\\s+.+\\s+[0-9]+\\s*$'))) = 0 AS listing FROM l)
+SELECT doc_id, listing, s IN ('dav_gov', 'kcb_moh') AND len(t) <= 450 AND contains(lower(t), 'ký bởi:')::INT + contains(lower(t), 'cơ quan:')::INT + contains(lower(t), 'ngày ký:')::INT + contains(lower(t), 'sonht.kcb_')::INT + contains(lower(t), 'độc lập - tự do - hạnh phúc')::INT >= 2
+  AND len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')) <= 18 AS stub, title = 'Xem chi tiết' OR (s IN ('who_vietnam', 'vien_dinh_duong', 'vmj_ojs') AND u = '') OR (s = 'vien_dinh_duong' AND (contains(lower(u), '/gioi-thieu') OR contains(lower(u), '/site-map') OR listing)) AS wrapper FROM x""")
+def f23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(_pick(_MORE, 2), F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, F.col("body")).otherwise(""))
+    title = F.when(F.col("doc_id") % 5 == 0, "Xem chi tiết").otherwise(F.col("title"))
+    return records(spark, sf_dir).select("doc_id", Q.download_listing(body).alias("listing"), Q.admin_stub(_pick(_FILES, 1), body).alias("stub"), Q.wrapper_page(_pick(_FILES, 1), title, _pick(_LINKS, 6), body).alias("wrapper"))

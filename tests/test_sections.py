@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import cleaning as L
+from lexmill.functions import quarantine as Q
 from lexmill.functions import rewriting as W
 from lexmill.operators import sectionizers as S
 
@@ -306,3 +307,13 @@ def test_short_answers(spark):
 def test_fixed_values_are_whole():
     assert [len(x) for x in (L.NOISE_LINES, L.HEADING_LINES, S.PROCEDURE_ANCHORS, S.SUBSECTION_NAMES, S.ADMIN_LINES, S.ARTICLE_HEADINGS)] == [7, 11, 11, 20, 31, 14]
     assert pytest.approx(len(L.SPACES)) == len([c for c in map(chr, range(0x3001)) if c.isspace()])
+
+
+def test_resolved_titles(spark):
+    rows = [("A good plain title", "", "", "", "http://m", "", ("A good plain title", "http://m")), ("pdf", "http://u", "12/03/2020\nA heading of the body\nx", "A manifest title", "http://m", "", ("A heading of the body", "http://u")),
+            ("pdf", "", "short", "A manifest title", "http://m/a", "own", ("A manifest title", "http://m/a")), ("pdf", "http://u/some_long-slug.html", "", "pdf", None, "own", ("some long slug", "http://u/some_long-slug.html")),
+            ("pdf", "", "", None, None, " Own title ", ("Own title", "")), ("pdf", None, None, None, None, None, ("pdf", "")), (None, None, None, None, None, None, ("", ""))]
+    df = spark.createDataFrame([(i, *r[:6]) for i, r in enumerate(rows)], "i int, t string, u string, b string, mt string, mu string, o string")
+    got = {r.i: tuple(r.x) for r in df.select("i", Q.resolved(*[F.col(c) for c in ("t", "u", "b", "mt", "mu", "o")]).alias("x")).collect()}
+    assert got == {i: r[6] for i, r in enumerate(rows)}
+    assert [len(x) for x in (Q.STUB_MARKERS, Q.OFFICE_PARTS, Q.WRAPPER_TITLES)] == [5, 8, 3]
