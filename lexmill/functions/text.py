@@ -13,23 +13,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- fixed values
-VI_STOPWORDS = (
-    "và là của cho với trong được có không các những một này đó khi để theo tại ở về do từ đến "
-    "thì lại cũng đã hay như trên sau trước giữa liệu rằng nên cần chỉ vì còn mà nếu đang"
-).split()
-EN_STOPWORDS = (
-    "the a an and or of to for in on at by with is are was were be been being that this these those"
-).split()
+VI_STOPWORDS = [
+    "và", "là", "của", "cho", "với", "trong", "được", "có", "không", "các", "những", "một", "này", "đó", "khi", "để", "theo", "tại", "ở", "về", "do",
+    "từ", "đến", "thì", "lại", "cũng", "đã", "hay", "như", "trên", "sau", "trước", "giữa", "liệu", "rằng", "nên", "cần", "chỉ", "vì", "còn", "mà",
+    "nếu", "đang",
+]
+EN_STOPWORDS = [
+    "the", "a", "an", "and", "or", "of", "to", "for", "in", "on", "at", "by", "with", "is", "are", "was", "were", "be", "been", "being", "that",
+    "this", "these", "those",
+]
 NEGATIVE_CUES = [
     "không có thông tin", "không đủ dữ liệu", "chưa thể", "không thể kết luận", "context chỉ", "bài không nêu", "đoạn trích không nêu",
 ]
 NEGATION_MARKERS = ["không", "chưa", "không có", "không nêu", "không đủ", "không thể", "không cần"]
-RETRIEVAL_STOPWORDS = (
-    "the and for with that this what about from trong theo tren nhung cua mot nào nao hay voi với sau khi can cần "
-    "phan phần context quyet dinh chon co ket luan"
-).split()
-LEXICAL_STOPWORDS = "the and for with from this that trong theo cua mot nhung giua dua tren nghien cuu danh gia benh nhan ket qua".split()
-LEXICAL_KEEP = "vu ct mr er pr ivf".split()
+RETRIEVAL_STOPWORDS = [
+    "the", "and", "for", "with", "that", "this", "what", "about", "from", "trong", "theo", "tren", "nhung", "cua", "mot", "nào", "nao", "hay", "voi",
+    "với", "sau", "khi", "can", "cần", "phan", "phần", "context", "quyet", "dinh", "chon", "co", "ket", "luan",
+]
+LEXICAL_STOPWORDS = [
+    "the", "and", "for", "with", "from", "this", "that", "trong", "theo", "cua", "mot", "nhung", "giua", "dua", "tren", "nghien", "cuu", "danh",
+    "gia", "benh", "nhan", "ket", "qua",
+]
+LEXICAL_KEEP = [
+    "vu", "ct", "mr", "er", "pr", "ivf",
+]
 MAJOR_HEADINGS = [
     "ĐỐI TƯỢNG VÀ PHƯƠNG PHÁP NGHIÊN CỨU", "VẬT LIỆU VÀ PHƯƠNG PHÁP NGHIÊN CỨU", "THEO DÕI VÀ XỬ TRÍ TAI BIẾN",
     "CÁC BƯỚC TIẾN HÀNH", "TIẾN HÀNH QTKT", "TÀI LIỆU THAM KHẢO", "CHỐNG CHỈ ĐỊNH", "ĐẶT VẤN ĐỀ", "GIỚI THIỆU", "MỞ ĐẦU",

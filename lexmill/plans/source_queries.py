@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..operators import qa
+from ..operators.lineage import shared_folder
 from ..sources import sinks
 from ..streaming import streams
 from .registry import REC, records, register, scalar, table
@@ -93,10 +94,7 @@ def h82(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _drained(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
     """Result of a stream over the events, run until nothing is left, in the shared folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    import uuid
-
-    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = streams.event_stream(spark, f"{sf_dir}/event[s].parquet", table(spark, sf_dir, "events").schema)
     out = build(events)
     streams.drain(out, f"{folder}/out", f"{folder}/state", mode)
