@@ -47,10 +47,9 @@ INDICATION = r"(?s)(Điều trị|Chỉ định)\s+(.+?)(?:\.\s*(?:Điều trị
 ISSUE_ANCHOR = r"(?iu)^\s*(TÓM TẮT|ABSTRACT|I\.\s*ĐẶT VẤN ĐỀ)"
 ISSUE_HEADER = r"(?iu)TẠP CHÍ Y|vietnam medical journal"
 ISSUE_SECTION = r"(?iu)^\s*(KẾT QUẢ|BÀN LUẬN|KẾT LUẬN|TÀI LIỆU THAM KHẢO|REFERENCES)"
-ISSUE_AUTHOR = (
-    "(?iu)([ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂĐĨŨƠƯẠẢẤẦẨẪẬẮẰẲẴẶẸẺẼỀỂẾỄỆỈỊỌỎỐỒỔỖỘỚỜỞỠỢỤỦỨỪỬỮỰỲỴÝỶỸA-Za-zàáâãèéêìíòóôõùúăđĩũơưạảấầẩẫậắằẳẵặẹẻẽềểếễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]"
-    r"+\s+){2,}.*?\d+"
-)
+# Two names in a row. A repeated group (``([..]+\s+){2,}.*?\d+``) would recurse for each word of a long line; two in a row before the last digit say the same.
+_NAME = "[ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂĐĨŨƠƯẠẢẤẦẨẪẬẮẰẲẴẶẸẺẼỀỂẾỄỆỈỊỌỎỐỒỔỖỘỚỜỞỠỢỤỦỨỪỬỮỰỲỴÝỶỸA-Za-zàáâãèéêìíòóôõùúăđĩũơưạảấầẩẫậắằẳẵặẹẻẽềểếễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]"
+ISSUE_NAMES = rf"(?iu){_NAME}\s+{_NAME}++\s"
 #: Lines behind an anchor that are searched, points that make a boundary, lines within which a second start is the same one.
 LOOK_BACK, LEAST_POINTS, SAME_START = 15, 5, 10
 #: Lines ahead of a numbered line that are searched for anchors, and how many make it a procedure.
@@ -278,7 +277,7 @@ def issue_boundaries(lines: Column) -> Column:
             def judge(x: Column) -> Column:
                 some, is_title = F.size(a["titles"]) > 0, uppercase_title(x)
                 same = lambda stop: F.struct(stop.alias("stop"), a["titles"].alias("titles"), a["top"].alias("top"), a["author"].alias("author"))
-                author = (a["author"] == "") & (F.char_length(x) > 10) & ~is_title & x.rlike(ISSUE_AUTHOR)
+                author = (a["author"] == "") & (F.char_length(x) > 10) & ~is_title & F.regexp_extract(x, r"(?s)^(.*)\d", 1).rlike(ISSUE_NAMES)
                 return (F.when((x == "") | x.rlike(ISSUE_HEADER), same(some)).when(F.contains(F.upper(x), F.lit("ABSTRACT")) | x.rlike(ISSUE_SECTION), same(F.lit(True)))
                         .when(author, F.struct(F.lit(False).alias("stop"), a["titles"].alias("titles"), a["top"].alias("top"), x.alias("author")))
                         .when(is_title, F.struct(F.lit(False).alias("stop"), F.concat(F.array(x), a["titles"]).alias("titles"), j.alias("top"), a["author"].alias("author")))
