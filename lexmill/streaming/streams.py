@@ -12,9 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.sessions import bucket
 
 
-def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
-    """Events from files that arrive in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
+    """Events from files that arrive in a folder; a trigger takes all that are there, or ``per_trigger`` files, if their order is that of the events."""
+    reader = spark.readStream.schema(schema)
+    return (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def request_metrics(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -35,26 +36,32 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 day") -> DataF
 
 
 def _detect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one key with their change status; the state is the last content hash and its row."""
+    """Rows of one key with their change status; the state is the last content hash and its row.
+
+    A key's rows of one trigger come in several frames, in no order, and are put
+    in order together.
+    """
     if state.hasTimedOut:
         state.remove()
         return
+    b = pd.concat([x[["ts", "event_id", "key", "sha"]] for x in batches], ignore_index=True)
+    if not len(b):
+        return
+    b = b.sort_values(["ts", "event_id"], ignore_index=True)
+    sha, of = b["sha"].astype("Int64"), b["event_id"].astype("Int64")
     last = state.get if state.exists else (None, None)
-    for b in batches:
-        b = b.sort_values(["ts", "event_id"])
-        status, of = [], []
-        for sha, i in zip(b["sha"], b["event_id"], strict=True):
-            changed = last[0] is not None and last[0] != sha
-            status.append("updated_asset" if changed else "")
-            of.append(last[1] if changed else None)
-            last = (int(sha), int(i))
-        if len(b):
-            yield pd.DataFrame({"event_id": b["event_id"], "key": b["key"], "duplicate_status": status, "duplicate_of": pd.array(of, dtype="Int64")})
-    state.update(last)
+    before, row = sha.shift(1), of.shift(1)
+    before[0], row[0] = (pd.NA if x is None else x for x in last)
+    changed = (before != sha).fillna(False).astype(bool)
+    yield pd.DataFrame({"event_id": of, "key": b["key"], "duplicate_status": changed.map({True: "updated_asset", False: ""}), "duplicate_of": row.where(changed)})
+    state.update(tuple(None if pd.isna(x) else int(x) for x in (sha.iloc[-1], of.iloc[-1])))
 
 
 def change_detection(log: DataFrame) -> DataFrame:
-    """``log(event_id, ts, key, sha)`` with each row's change status, by keyed state."""
+    """``log(event_id, ts, key, sha)`` with each row's change status, by keyed state.
+
+    Rows of one trigger are taken in the order of their times, whatever files they come from; triggers in theirs.
+    """
     return log.groupBy("key").applyInPandasWithState(
         _detect, "event_id long, key long, duplicate_status string, duplicate_of long", "sha long, event_id long", "append", GroupStateTimeout.NoTimeout)
 
