@@ -121,10 +121,36 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
+def _best(pieces: list[str], reference: str) -> float:
+    """The greatest T25 of a piece with the reference; what lengths or counts of signs keep below the best so far isn't aligned."""
+    m, best = SequenceMatcher(None, "", reference), 0.0
+    bound = lambda p: 2.0 * min(len(p), len(reference)) / (len(p) + len(reference))
+    for p in sorted(set(pieces), key=bound, reverse=True):
+        if bound(p) <= best:
+            break
+        m.set_seq1(p)
+        if m.quick_ratio() > best:
+            best = max(best, m.ratio())
+    return best
+
+
 @pandas_udf(DoubleType())
 def best_sentence_ratio(pieces: pd.Series, reference: pd.Series) -> pd.Series:
     """Greatest T25 of any piece with the reference."""
-    return pd.Series([max((SequenceMatcher(None, p, r).ratio() for p in ps), default=0.0) if r else 0.0 for ps, r in zip(pieces, reference, strict=True)])
+    return pd.Series([_best(ps, r) if r else 0.0 for ps, r in zip(pieces, reference, strict=True)])
+
+
+@pandas_udf(DoubleType())
+def sequence_ratio_above(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """T25 where it is greater than ``least``, else 0."""
+
+    def one(x: str, y: str, z: float) -> float:
+        if not x or not y or 2.0 * min(len(x), len(y)) / (len(x) + len(y)) <= z:
+            return 0.0
+        m = SequenceMatcher(None, x, y)
+        return r if m.quick_ratio() > z and (r := m.ratio()) > z else 0.0
+
+    return pd.Series([one(*r) for r in zip(a, b, least, strict=True)])
 
 
 def best_sentence_similarity(answer: Column, reference: Column) -> Column:
@@ -149,7 +175,7 @@ def concept_overlap(answer: Column, concept: Column) -> Column:
     return (
         F.when((a == "") | (k == ""), 0.0).when(F.contains(a, k), 1.0)
         .when(F.size(numbers(concept)) > 0, F.greatest(nums, 0.55 * nums + 0.25 * cover + 0.20 * best))
-        .otherwise(F.greatest(cover, best, sequence_ratio(a, k) * 0.9))
+        .otherwise(F.greatest(cover, best, sequence_ratio_above(a, k, F.greatest(cover, best) / 0.9 - 1e-9) * 0.9))
     )
 
 
