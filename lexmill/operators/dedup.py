@@ -16,14 +16,13 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", body_col: str = "bod
     A row with a body that others have is exact; of the rest, rows whose
     fingerprint others have (exact ones included) are near. The group is named
     by its least id. Both counts come from map-side combined aggregates that are
-    joined back, so a huge group doesn't gather in one task.
+    joined back, so a huge group doesn't gather in one task. A body has one
+    fingerprint, so fingerprints are counted over the distinct bodies.
     """
-    at = df.withColumns({"__x": T.body_sha(F.col(body_col)), "__f": T.fingerprint(F.col(body_col))})
-    exact = at.groupBy("__x").agg(F.count(F.lit(1)).alias("__xn"), F.min(id_col).alias("__xm"))
-    near = at.groupBy("__f").agg(F.count(F.lit(1)).alias("__fn"))
-    at = at.join(exact, "__x").join(near, "__f")
-    lone = at.where((F.col("__xn") == 1) & (F.col("__fn") > 1)).groupBy("__f").agg(F.min(id_col).alias("__fm"))
-    at = at.join(lone, "__f", "left")
+    body = F.col(body_col)
+    exact = df.groupBy(T.body_sha(body).alias("__x")).agg(F.count(F.lit(1)).alias("__xn"), F.min(id_col).alias("__xm"), F.min(T.fingerprint(body)).alias("__f"))
+    near = exact.groupBy("__f").agg(F.sum("__xn").alias("__fn"), F.min(F.when(F.col("__xn") == 1, F.col("__xm"))).alias("__fm"))
+    at = df.withColumn("__x", T.body_sha(body)).join(exact.join(near, "__f"), "__x")
     x, f = F.col("__xn") > 1, F.col("__fn") > 1
     return at.withColumns({
         "is_duplicate_suspect": x | f,
