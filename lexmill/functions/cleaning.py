@@ -68,15 +68,23 @@ def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, int]]:
     return apart, together, order
 
 
+#: Parts of a table; a look into a map reads its keys one by one.
+_PARTS = 128
+
+
 @cache
-def _packed(which: int) -> str:
-    """A table as one text: entries between U+0001, key and value between U+0002."""
-    return "\x01".join(f"{k}\x02{v}" for k, v in _tables()[which].items())
+def _packed(which: int) -> list[str]:
+    """A table's parts by the key's first sign, each as one text: entries between U+0001, key and value between U+0002."""
+    out: list[list[str]] = [[] for _ in range(_PARTS)]
+    for k, v in _tables()[which].items():
+        out[ord(k[0]) % _PARTS].append(f"{k}\x02{v}")
+    return ["\x01".join(x) for x in out]
 
 
 def _lookup(which: int, key: Column) -> Column:
-    """A key's value, null without one; the map is a constant that the optimizer folds."""
-    return F.try_element_at(F.str_to_map(F.lit(_packed(which)), F.lit("\x01"), F.lit("\x02")), key)
+    """A key's value, null without one; the maps are a constant that the optimizer folds."""
+    maps = F.array(*[F.str_to_map(F.lit(x), F.lit("\x01"), F.lit("\x02")) for x in _packed(which)])
+    return F.try_element_at(F.get(maps, F.ascii(key) % _PARTS), key)
 
 
 def nfc(c: Column) -> Column:
