@@ -39,16 +39,19 @@ CASE_REPORT = ["ca lâm sàng", "nhân một trường hợp", "case report"]
 
 
 def _has(c: Column, marks: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(c, m))
+    return let(c, lambda t: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(t, m)))
 
 
 def _starts(c: Column, marks: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.startswith(c, m))
+    return let(c, lambda t: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.startswith(t, m)))
+
+
+def _joined(title: Column, low: Column, n: int | None = None) -> Column:
+    return F.concat(F.lower(blank(title)), F.lit(" "), low if n is None else F.substring(low, 1, n))
 
 
 def _both(title: Column, body: Column, n: int | None = None) -> Column:
-    b = F.lower(blank(body))
-    return F.concat(F.lower(blank(title)), F.lit(" "), b if n is None else F.substring(b, 1, n))
+    return _joined(title, F.lower(blank(body)), n)
 
 
 def symbolic_title(c: Column) -> Column:
@@ -112,14 +115,16 @@ def _rules(t: Column, b: Column, score: Column, journal: Column, hospital: Colum
         (F.coalesce(score, F.lit(100)) < LEAST_SCORE, "low_quality_score"), (n < LEAST_BODY, "too_short"), (F.char_length(t) < LEAST_TITLE, "weak_title_too_short"),
         (_starts(F.lower(t), TRUNCATED), "truncated_title"), (F.contains(t, F.lit("\\")), "encoding_garbage"), (symbolic_title(t), "numeric_or_symbolic_title"),
         (reference_title(t), "reference_like_title"), (author_line(t), "author_line_title"), (equation_title(t), "equation_lab_fragment"), (_has(low, REFERENCES), "references"),
-        (admin(t, b), "administrative_cover"), (conference(t, b), "conference_header"), (form(t, b), "questionnaire_form"), (generic_heading(t), "generic_heading"),
+        (_has(strip_marks(_joined(t, low, 700)), ADMIN), "administrative_cover"), (_has(_joined(t, low, 300), CONFERENCE), "conference_header"), (_has(_joined(t, low), FORM), "questionnaire_form"), (generic_heading(t), "generic_heading"),
         (journal & (F.contains(low, F.lit("doi:")) | low.rlike(r"[0-9]+\([0-9]+\)\s*:\s*[0-9]+")), "bibliographic_fragment"),
         (hospital & (F.lower(t).rlike(r"test\s*[0-9]+\s*:") | F.substring(low, 1, 300).rlike(r"test\s*[0-9]+\s*:")), "non_medical_test"),
-        (hospital & ~clinical(t, b), "lack_of_clinical_signal"), (digits > MOST_DIGITS, "high_digit_ratio"), (special_ratio(b) > MOST_SPECIAL, "high_special_ratio"),
+        (hospital & ~_has(_joined(t, low, 1200), CLINICAL), "lack_of_clinical_signal"), (digits > MOST_DIGITS, "high_digit_ratio"), (special_ratio(b) > MOST_SPECIAL, "high_special_ratio"),
         (narrative_sentences(b) < LEAST_SENTENCES, "lack_of_narrative"), ((tables > 8) & (n < 1200), "table_figure_heavy"),
     ]
-    # the first rule that holds, found once
-    first = F.array_position(F.array(*[F.coalesce(c, F.lit(False)) for c, _ in rules]), True)
+    # the first rule that holds, found once; the rules behind it aren't looked at
+    first = F.lit(0)
+    for i, (c, _) in reversed(list(enumerate(rules, 1))):
+        first = F.when(c, i).otherwise(first)
     case, heavy = _has(F.lower(t), CASE_REPORT), (tables > 4) | (digits > 0.07)
     names = F.array(*[F.lit(r) for _, r in rules])
 
