@@ -87,12 +87,13 @@ def _any(texts: list[Column], phrases: list[str]) -> Column:
 
 
 def _holds(listed: Column, text: Column) -> Column:
-    return F.exists(listed, lambda p: F.contains(text, p))
+    return let(text, lambda t: F.exists(listed, lambda p: F.contains(t, p)))  # the text is computed once, not for each phrase
 
 
 def count_matches(q: Column, s: Column, phrases: list[str]) -> Column:
     """Phrases that the text (as is or plain) holds."""
-    return F.size(F.filter(F.array(*[F.lit(p) for p in both(phrases)]), lambda p: F.contains(q, p) | F.contains(s, p)))
+    listed = F.array(*[F.lit(p) for p in both(phrases)])
+    return let(F.struct(q.alias("q"), s.alias("s")), lambda x: F.size(F.filter(listed, lambda p: F.contains(x["q"], p) | F.contains(x["s"], p))))
 
 
 def _marked(q: Column, s: Column, marks: list[str]) -> Column:
