@@ -45,8 +45,12 @@ def chunk_hash(c: Column) -> Column:
 
 
 def first_owner(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The document and place where each chunk's text comes first; joined back, as a common chunk would fill a window."""
-    at = chunks.withColumn("__h", chunk_hash(F.col("chunk")))
+    """The document and place where each chunk's text comes first; joined back, as a common chunk would fill a window.
+
+    The rows are dealt by document before, so that the join and the aggregate
+    read one exchange and the chunks are cut once.
+    """
+    at = chunks.withColumn("__h", chunk_hash(F.col("chunk"))).repartition(F.col(id_col), F.col("chunk_index"))
     first = at.groupBy("__h").agg(F.min(F.struct(id_col, "chunk_index")).alias("__o"))
     return at.join(first, "__h").withColumns({"owner": F.col(f"__o.{id_col}"), "owner_index": F.col("__o.chunk_index")}).drop("__h", "__o")
 
