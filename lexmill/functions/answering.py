@@ -84,7 +84,7 @@ def _list(values: list[str]) -> Column:
 
 
 def holds(text: Column, marks: list[str]) -> Column:
-    return F.exists(_list(marks), lambda m: F.contains(text, m))
+    return let(text, lambda t: F.exists(_list(marks), lambda m: F.contains(t, m)))  # the text is computed once, not for each mark
 
 
 def _add(*rules: tuple[Column, float]) -> Column:
@@ -207,14 +207,25 @@ def same_article_bonus(query: Column, text: Column, section: Column, meta: Colum
     return let(F.struct(fold(query).alias("q"), fold(text).alias("t"), fold(meta).alias("m"), fold(section).alias("s")), score)
 
 
+def question(query: Column, asks_numeric: Column) -> Column:
+    """What ``score_of`` looks at in a question, so that many sentences are scored with one look at it."""
+    return let(fold(query), lambda q: F.struct(
+        q.alias("q"), keywords(query).alias("words"), evidence_phrases(query).alias("phrases"), holds(q, STUDY_DESIGN_ASKED).alias("design"), asks_numeric.alias("numeric")))
+
+
 def sentence_score(sentence: Column, query: Column, section: Column, asks_numeric: Column) -> Column:
     """How directly a sentence answers the question; -1 for a fragment of a header."""
+    return let(question(query, asks_numeric), lambda a: score_of(sentence, a, section))
+
+
+def score_of(sentence: Column, asked: Column, section: Column) -> Column:
+    """C12 for a ``question``."""
 
     def score(x: Column) -> Column:
-        q, t, s = x["q"], x["t"], x["s"]
-        design = holds(q, STUDY_DESIGN_ASKED)
-        overlap = F.size(F.array_intersect(keywords(query), keywords(sentence))) * 1.5
-        found = F.filter(evidence_phrases(query), lambda p: F.contains(t, p))
+        q, t, s = asked["q"], x["t"], x["s"]
+        design, asks_numeric = asked["design"], asked["numeric"]
+        overlap = F.size(F.array_intersect(asked["words"], keywords(sentence))) * 1.5
+        found = F.filter(asked["phrases"], lambda p: F.contains(t, p))
         by_phrase = F.aggregate(found, F.lit(0.0), lambda a, p: a + F.when(F.size(F.split(p, " ")) >= 3, 2.0).otherwise(1.2))
         points = _add(
             (asks_numeric & sentence.rlike(r"\p{Nd}"), 2.0),
@@ -224,7 +235,7 @@ def sentence_score(sentence: Column, query: Column, section: Column, asks_numeri
         )
         return F.when(holds(t, FRAGMENT_MARKERS), -1.0).otherwise(F.round(overlap + by_phrase + points, 6))
 
-    return let(F.struct(fold(query).alias("q"), fold(sentence).alias("t"), fold(section).alias("s")), score)
+    return let(F.struct(fold(sentence).alias("t"), fold(section).alias("s")), score)
 
 
 # ------------------------------------------------------------------ decisions
@@ -336,19 +347,22 @@ def answer_windows(text: Column) -> Column:
     return let(extractive(text), windows)
 
 
-def fallback_answer(question: Column, scope: Column, title: Column, claims: Column, conclusion: Column, raw: Column) -> Column:
-    """The three best sentences by words of the question, figures and length, as the answer that needs no model."""
+def fallback_answer(question: Column, scope: Column, title: Column, claims: Column, conclusion: Column, raw: Column, windows: Column | None = None) -> Column:
+    """The three best sentences by words of the question, figures and length, as the answer that needs no model; ``windows``: those of ``raw``, if known."""
+    windows = answer_windows(raw) if windows is None else windows
     terms = extractive_terms(F.concat_ws(" ", blank(question), blank(scope), blank(title)))
-    every = F.filter(F.concat(F.transform(F.coalesce(claims, F.array().cast(_NONE)), lambda c: F.trim(c)), F.array(F.trim(blank(conclusion))), answer_windows(raw)), lambda x: x != "")
+    every = F.filter(F.concat(F.transform(F.coalesce(claims, F.array().cast(_NONE)), lambda c: F.trim(c)), F.array(F.trim(blank(conclusion))), windows), lambda x: x != "")
 
     def rank(x: Column) -> Column:
-        low = x["low"]
-        rows = F.transform(x["every"], lambda c, i: let(F.element_at(low, i + 1), lambda k: F.struct(
-            (-F.size(F.filter(x["terms"], lambda w: F.contains(k, w)))).alias("o"), F.when(c.rlike(r"(?i)\b[0-9]+\b|%|OR|HR|AUC|n\s*="), -1).otherwise(0).alias("n"),
-            (-F.char_length(c)).alias("l"), i.alias("i"), c.alias("c"), (F.array_position(low, k) == i + 1).alias("first"))))
-        return F.transform(F.slice(F.array_sort(F.filter(rows, lambda r: r["first"])), 1, 3), lambda r: F.concat(F.lit("- "), r["c"]))
-
-    best = let(let(every, lambda e: F.struct(e.alias("every"), F.transform(e, F.lower).alias("low"), terms.alias("terms"))), rank)
+        # equal texts stand side by side, the first one first: no text is sought among all
+        first = F.filter(x["low"], lambda y, j: (j == 0) | (F.get(x["low"], j - 1)["k"] != y["k"]))
+        rows = F.transform(first, lambda y: let(F.get(x["every"], y["i"]), lambda c: F.struct(
+            (-F.size(F.filter(x["terms"], lambda w: F.contains(y["k"], w)))).alias("o"), F.when(c.rlike(r"(?i)\b[0-9]+\b|%|OR|HR|AUC|n\s*="), -1).otherwise(0).alias("n"),
+            (-F.char_length(c)).alias("l"), y["i"].alias("i"), c.alias("c"))))
+        return F.transform(F.slice(F.array_sort(rows), 1, 3), lambda r: F.concat(F.lit("- "), r["c"]))
+
+    low = lambda e: F.array_sort(F.transform(e, lambda c, i: F.struct(F.lower(c).alias("k"), i.alias("i"))))
+    best = let(let(every, lambda e: F.struct(e.alias("every"), low(e).alias("low"), terms.alias("terms"))), rank)
     body = F.when(F.size(best) > 0, F.concat(F.array(F.lit("Tóm tắt nhanh:")), best)).otherwise(_list([FALLBACK_EMPTY]))
     source = F.when(blank(title) != "", F.array(F.concat(F.lit("Nguồn chính: [1] "), title))).otherwise(F.array().cast(_NONE))
     return F.array_join(F.concat(_list([FALLBACK_OPENING]), body, source), "\n")
