@@ -51,12 +51,14 @@ def greedy_cover(truth: Column, concepts: Column) -> Column:
     def cover(x: Column) -> Column:
         maps = x["maps"]
         gain = lambda m, left: F.aggregate(F.zip_with(m, left, lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda a, n: a + n)
-        start = F.struct(F.transform(F.get(maps, F.lit(0)), lambda w: F.lit((1 << _WORD) - 1).cast("bigint")).alias("left"), F.array().cast("array<int>").alias("taken"))
+        start = F.struct(F.transform(F.get(maps, F.lit(0)), lambda w: F.lit((1 << _WORD) - 1).cast("bigint")).alias("left"), F.array().cast("array<int>").alias("taken"), F.lit(True).alias("more"))
 
         def step(a: Column, _: Column) -> Column:
             best = F.array_max(F.transform(maps, lambda m, i: F.struct(gain(m, a["left"]).alias("gain"), (-i).alias("at"))))
-            new = lambda b: F.struct(F.zip_with(a["left"], F.get(maps, -b["at"]), lambda u, m: u.bitwiseAND(F.bitwise_not(m))).alias("left"), F.concat(a["taken"], F.array(-b["at"])).alias("taken"))
-            return let(best, lambda b: F.when(b["gain"] > 0, new(b)).otherwise(a))
+            new = lambda b: F.struct(F.zip_with(a["left"], F.get(maps, -b["at"]), lambda u, m: u.bitwiseAND(F.bitwise_not(m))).alias("left"), F.concat(a["taken"], F.array(-b["at"])).alias("taken"), F.lit(True).alias("more"))
+            none = F.struct(a["left"].alias("left"), a["taken"].alias("taken"), F.lit(False).alias("more"))
+            # after a step that finds none no other one does
+            return F.when(a["more"], let(best, lambda b: F.when(b["gain"] > 0, new(b)).otherwise(none))).otherwise(a)
 
         taken = F.aggregate(concepts, start, step, lambda a: F.array_sort(a["taken"]))
         return F.array_join(F.transform(taken, lambda i: F.get(x["s"], i)), " ")
@@ -69,7 +71,7 @@ def greedy_cover(truth: Column, concepts: Column) -> Column:
 
 def phrase_coverage(phrases: Column, text: Column) -> Column:
     """The share of phrases that a text says; 1 without phrases."""
-    return F.when(F.size(phrases) == 0, 1.0).otherwise(let(_keyed(text), lambda t: F.size(F.filter(phrases, lambda p: _says(_keyed(p), t))) / F.size(phrases)))
+    return F.when(F.size(phrases) == 0, 1.0).otherwise(let(_keyed(text), lambda t: F.size(F.filter(phrases, lambda p: let(_keyed(p), lambda k: _says(k, t)))) / F.size(phrases)))
 
 
 def supported_concepts(concepts: Column, missing: Column, weak: Column) -> Column:
@@ -88,12 +90,13 @@ def with_concepts(short: Column, concepts: Column) -> Column:
     return F.when(F.size(concepts) == 0, trimmed(blank(short))).when(base == "", said).otherwise(F.concat(base, F.lit("; "), said))
 
 
-def choose_short_answer(short: Column, truth: Column, concepts: Column, too_few: Column) -> Column:
+def choose_short_answer(short: Column, truth: Column, concepts: Column, too_few: Column, cover: Column | None = None) -> Column:
     """struct(answer, strategy, before, after, added): the short answer as it is, unless it covers ``too_few`` concepts; then
     itself with the missing ones or the covering sentences of the ground truth, whichever covers more; of equal ones the shorter, the sentences on a tie.
+    ``cover``: the ground truth's greedy cover, if known.
     """
     own = trimmed(short)
-    lacking = let(_keyed(own), lambda t: F.filter(concepts, lambda c: ~_says(_keyed(c), t)))
+    lacking = let(_keyed(own), lambda t: F.filter(concepts, lambda c: ~let(_keyed(c), lambda k: _says(k, t))))
     tokens = lambda t: F.size(F.filter(F.split(title_key(t), r"[^\p{L}\p{M}\p{N}_]+"), lambda w: F.char_length(w) > 1))
     out = lambda answer, how, after, added: F.struct(answer.alias("answer"), F.lit(how).alias("strategy"), F.round(phrase_coverage(concepts, own), 3).alias("before"), F.round(after, 3).alias("after"), added.alias("added"))
 
@@ -102,6 +105,6 @@ def choose_short_answer(short: Column, truth: Column, concepts: Column, too_few:
         sentences = more | (~less & (tokens(x["cover"]) > 0) & (tokens(x["cover"]) <= tokens(x["long"])))
         return F.when(sentences, out(x["cover"], "ground_truth_sentence_extraction", x["said"], lacking)).otherwise(out(x["long"], "append_missing_concepts_to_original_short_answer", x["put"], lacking))
 
-    both = F.struct(with_concepts(own, lacking).alias("long"), greedy_cover(truth, concepts).alias("cover"))
+    both = F.struct(with_concepts(own, lacking).alias("long"), (greedy_cover(truth, concepts) if cover is None else cover).alias("cover"))
     judged = let(both, lambda b: let(F.struct(b["long"].alias("long"), b["cover"].alias("cover"), phrase_coverage(concepts, b["long"]).alias("put"), phrase_coverage(concepts, b["cover"]).alias("said")), pick))
     return F.when(too_few, judged).otherwise(out(own, "kept_original_short_answer", phrase_coverage(concepts, own), F.array().cast("array<string>")))
