@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .answering import FRAGMENT_MARKERS, holds, sentence_score
+from .answering import FRAGMENT_MARKERS, holds, question, score_of
 from .evidence import dense_table
 from .ranking import keywords
 from .text import blank, fold, let
@@ -59,14 +59,15 @@ def candidate_sentences(text: Column) -> Column:
 
 def _candidates(chunks: Column, query: Column, numeric: Column, more) -> Column:
     """(score, place, sentence, folded, chunk_id, section) of every candidate; ``more(folded, sentence)`` is added to the score."""
-    def of(c: Column) -> Column:
+    def of(c: Column, asked: Column) -> Column:
         def one(s: Column) -> Column:
-            return let(fold(s), lambda n: F.struct((sentence_score(s, query, blank(c["section_title"]), numeric) + more(n, s)).alias("score"), s.alias("claim"), n.alias("n"),
+            return let(fold(s), lambda n: F.struct((score_of(s, asked, blank(c["section_title"])) + more(n, s)).alias("score"), s.alias("claim"), n.alias("n"),
                                                    c["chunk_id"].alias("chunk_id"), blank(c["section_title"]).alias("section_title")))
 
         return F.transform(candidate_sentences(c["text"]), one)
 
-    found = F.filter(F.flatten(F.transform(chunks, of)), lambda x: x["score"] >= LEAST_SCORE)
+    every = let(question(query, numeric), lambda asked: F.flatten(F.transform(chunks, lambda c: of(c, asked))))
+    found = F.filter(every, lambda x: x["score"] >= LEAST_SCORE)
     return F.transform(found, lambda x, i: F.struct(x["score"].alias("score"), i.alias("i"), x["claim"].alias("claim"), x["n"].alias("n"), x["chunk_id"].alias("chunk_id"), x["section_title"].alias("section_title")))
 
 
