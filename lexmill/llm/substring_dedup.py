@@ -27,7 +27,9 @@ from .common import column, key_of, lean, mix, packed, parts, runs, shuffle_part
 #: Bytes of distinct packed strings that a map task holds before it sends them on.
 HOLD_BYTES = 24 << 20
 #: Places of repeated strings that it holds, some 200 bytes each.
-HOLD_LATE = 100_000
+HOLD_LATE = 25_000
+#: Text bytes that a task looks at in one step, some 60 bytes each.
+PART_BYTES = 1 << 18
 _MM = 3
 _PACKED = "bucket int, docs binary, marks binary, starts binary, ends binary, words binary"
 _SPANS = "__d long, __m long, __s int, __e int"
@@ -63,7 +65,7 @@ def _pack(window: int, buckets: int):
         held = 0
         for batch in batches:
             docs, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi, texts in parts(batch.column(2)):
+            for lo, hi, texts in parts(batch.column(2), PART_BYTES):
                 plain = [b" ".join(t.split()) for t in texts]
                 whole = b"\n".join(plain)
                 buf = np.frombuffer(whole, np.uint8)
@@ -218,7 +220,7 @@ def _keep(at: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in parts(batch.column(0).field(at)):
+            for lo, hi, texts in parts(batch.column(0).field(at), PART_BYTES):
                 total, gone, kept = [], [], []
                 for t, sp in zip(texts, batch.column(1).slice(lo, hi - lo).to_pylist(), strict=True):
                     words = t.split()
