@@ -8,20 +8,16 @@ a unigram model the fold is Viterbi. A BPE model's scores are merge ranks, whose
 sums mean nothing: there the fold takes, best first, the edges that span two
 adjacent segments, which is what the model defines.
 
-With ``frequent=None`` every distinct unit of the corpus takes that way: map
-tasks number the units of a block of texts and keep each text as numbers, the
-units' ids are joined back to the blocks, and each block's texts are put
-together from its own units. By default the ``FREQUENT`` units that the whole
-corpus holds most often do, ranked by exact counts; their ids are broadcast, and
-the model library gives the same ids for the others inside the task.
+Every distinct unit of the corpus takes that way: map tasks number the units of
+a block of texts and keep each text as numbers, the distinct units are encoded,
+their ids are joined back to the blocks, and each block's texts are put together
+from its own units.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,21 +28,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as D
 
-from .common import column, cut, lean, packed, parts, shuffle_partitions
+from .common import column, lean, packed, parts, runs, shuffle_partitions
 
 #: The public vocabulary's place; a parameter of every function below.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longest unit that the lattice takes, in characters: its bounds are the bits of a long, and a fold grows with the
 #: square of the length. The model library encodes the longer ones (long lines without a space); ids are the same.
 LONGEST = 61
-#: Units in the broadcast dictionary: the most frequent of the corpus; at most 4 million characters.
-FREQUENT = 65_536
-#: Units whose counts or ids a task keeps at a time.
-HOLD = 120_000
-#: Text bytes whose units a task holds at a time.
-PIECE = 1 << 18
 #: Bytes of text in a block.
-BLOCK = 8 << 20
+BLOCK = 32 << 20
+#: Bytes of text that a step works on.
+PIECE = 1 << 18
+#: Units whose ids a task packs at a time.
+HOLD = 250_000
+#: Units in a row on their way to the lattice.
+PACK = 20_000
 SPACE = "▁"
 _models: dict[int, tuple] = {}
 
@@ -147,42 +143,54 @@ def inverting(scores: dict[str, float]) -> set[str]:
 
 
 def merge_edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """The lattice for ``merge_ids``: ``wide``, edges of two signs and more, and ``ones``, (s, id) of single signs in a long.
+    """The lattice for ``merge_ids`` of each (``key``, ``unit``): ``edges`` of two signs and more, and of single signs beyond ASCII and U+2581.
 
-    A wide edge is (key, need, holds): ``key`` orders edges by score and then
-    from the right, and carries s and the id; the bits of ``need`` are its ends,
-    those of ``holds`` the bounds between them. ``inverts`` tells if any edge does.
+    An edge is a long that orders edges by score and then from the right: rank,
+    63 - s, s, length and id. ``inverts`` tells if any edge does. A unit without
+    an edge has an empty array, as an empty string that every unit holds is
+    joined as well.
     """
-    sub = _substrings(units, pieces, longest)
-    wide = F.expr("""named_struct('key', shiftleft(rank, 32) + shiftleft(CAST(63 - s AS BIGINT), 26) + shiftleft(CAST(s AS BIGINT), 20) + id,
-        'need', shiftleft(1L, s) | shiftleft(1L, e), 'holds', shiftleft(1L, e) - shiftleft(1L, s + 1))""")
-    return sub.groupBy("key", "unit").agg(
-        F.collect_list(F.when(F.expr("e - s > 1"), wide)).alias("wide"), F.collect_list(F.expr("IF(e - s = 1, shiftleft(CAST(s AS BIGINT), 20) + id, NULL)")).alias("ones"),
-        F.max("inverts").alias("inverts"))
+    plain = "CASE WHEN ascii(substring(unit, s + 1, 1)) < 128 OR substring(unit, s + 1, 1) = '\u2581' THEN 2 ELSE 1 END"
+    at = units.select("key", "unit", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1)).alias("s"))
+    at = at.select("key", "unit", "s", F.expr(plain).alias("lo"), F.least(F.lit(longest), F.char_length("unit") - F.col("s")).alias("hi"))
+    lengths = F.expr("concat(IF(s = 0, array(0), CAST(array() AS ARRAY<INT>)), IF(lo <= hi, sequence(lo, hi), CAST(array() AS ARRAY<INT>)))")
+    sub = at.select("key", "unit", "s", F.explode(lengths).alias("l")).select("key", "unit", "s", "l", F.expr("substring(unit, s + 1, l)").alias("piece"))
+    none = units.sparkSession.createDataFrame([("", None, None, False)], pieces.schema)
+    found = sub.join(F.broadcast(pieces.unionByName(none)), "piece")
+    edge = F.expr("shiftleft(rank, 38) + shiftleft(CAST(63 - s AS BIGINT), 32) + shiftleft(CAST(s AS BIGINT), 26) + shiftleft(CAST(l AS BIGINT), 20) + id")
+    return found.select("key", "unit", edge.alias("edge"), "inverts").groupBy("key", "unit").agg(F.collect_list("edge").alias("edges"), F.max("inverts").alias("inverts"))
 
 
-def merge_ids(byte_ids: list[int]) -> Column:
+def merge_ids(byte_ids: list[int], sign_ids: list[int]) -> Column:
     """Ids of the BPE segments of ``unit``: merges of two adjacent segments, best score first, leftmost among equals.
 
     The segments' bounds are the set bits of a long. An edge can be taken if
     both of its ends are bounds and it holds exactly one, and stands for a
     segment in the end if it holds none. Without an inverting edge merges come
     in falling order of score, so one pass over the sorted edges takes them all;
-    else the best open edge is sought step by step. A sign without a piece
-    becomes the ids of its bytes.
+    else the best open edge is sought step by step. A single sign takes its id
+    of ``sign_ids`` (ASCII and U+2581, -1 for none) or its own edge; a sign
+    without a piece becomes the ids of its bytes.
     """
     first = "shiftleft(1L, char_length(unit) + 1) - 1L"
-    once = f"aggregate(sort_array(wide, false), {first}, (b, x) -> IF(bit_count(b & x.holds) = 1 AND (b & x.need) = x.need, b & ~x.holds, b))"
+    start, size = "CAST(shiftright(x, 26) & 63 AS INT)", "CAST(shiftright(x, 20) & 63 AS INT)"
+    need = f"shiftleft(1L | shiftleft(1L, {size}), {start})"
+    holds = f"shiftleft(shiftleft(1L, {size} - 1) - 1L, {start} + 1)"
+    once = f"aggregate(sort_array(edges, false), {first}, (b, x) -> IF(bit_count(b & {holds}) = 1 AND (b & {need}) = {need}, b & ~{holds}, b))"
+    wide = f"transform(filter(edges, x -> {size} > 1), x -> named_struct('key', x, 'need', {need}, 'holds', {holds}))"
     # what a lambda binds is computed once; a plain expression would be computed again in each step
-    steps = f"""aggregate(sequence(1, char_length(unit)), named_struct('b', {first}, 'live', wide),
+    steps = f"""aggregate(sequence(1, char_length(unit)), named_struct('b', {first}, 'live', {wide}),
         (now, i) -> transform(array(array_max(filter(now.live, x -> bit_count(now.b & x.holds) = 1))), m ->
             IF(m IS NULL, now, named_struct('b', now.b & ~m.holds, 'live', filter(now.live, x -> (x.need & m.holds) = 0))))[0], now -> now.b)"""
-    table = f"array({', '.join(map(str, byte_ids))})"
-    code = "hex(encode(substring(unit, i + 1, 1), 'UTF-8'))"
+    table, signs = (f"array({', '.join(map(str, x))})" for x in (byte_ids, [*sign_ids, -1]))
+    sign = "substring(unit, i + 1, 1)"
+    code = f"hex(encode({sign}, 'UTF-8'))"
     by_byte = f"transform(sequence(1, CAST(char_length({code}) / 2 AS INT)), j -> element_at({table}, CAST(conv(substring({code}, 2 * j - 1, 2), 16, 10) AS INT) + 1))"
-    alone = "filter(sequence(0, char_length(unit) - 1), i -> (b & shiftleft(3L, i)) = shiftleft(3L, i) AND NOT exists(own, x -> shiftright(x, 20) = i))"
-    own = """concat(transform(filter(wide, x -> (b & x.holds) = 0 AND (b & x.need) = x.need), x -> x.key & 67108863),
-        filter(ones, x -> transform(array(shiftleft(3L, CAST(shiftright(x, 20) AS INT))), m -> (b & m) = m)[0]))"""
+    single = "filter(sequence(0, char_length(unit) - 1), i -> (b & shiftleft(3L, i)) = shiftleft(3L, i))"
+    by_sign = f"element_at({signs}, CASE WHEN ascii({sign}) < 128 THEN ascii({sign}) + 1 WHEN {sign} = '\u2581' THEN 129 ELSE 130 END)"
+    own = f"""concat(transform(filter(edges, x -> (b & {holds}) = 0 AND (b & {need}) = {need}), x -> shiftleft(shiftright(x, 26) & 63, 20) + (x & 1048575)),
+        filter(transform({single}, i -> shiftleft(CAST(i AS BIGINT), 20) + {by_sign}), x -> (x & 1048575) != 1048575))"""
+    alone = f"filter({single}, i -> NOT exists(own, x -> shiftright(x, 20) = i))"
     return F.expr(f"""transform(array(IF(inverts, {steps}, {once})), b -> transform(array({own}), own -> IF(size(own) = bit_count(b) - 1,
         transform(sort_array(own), x -> CAST(x & 1048575 AS INT)),
         flatten(transform(array_sort(concat(transform(own, x -> named_struct('s', CAST(shiftright(x, 20) AS INT), 'ids', array(CAST(x & 1048575 AS INT)))),
@@ -220,18 +228,21 @@ def segment_ids(unit: Column, edge: Column, bounds: Column, byte_ids: list[int])
 
 def encode_units(units: DataFrame, model: Model, kind: str = "bpe") -> DataFrame:
     """(``unit``, ``ids``) for each distinct, non-empty ``unit`` of up to LONGEST characters, by joins and folds alone."""
+    return _encoded(units.where(F.col("unit") != "").select("unit").distinct().repartition(shuffle_partitions(units.sparkSession), "unit"), model, kind)
+
+
+def _encoded(units: DataFrame, model: Model, kind: str) -> DataFrame:
+    """As ``encode_units``, for distinct units that are dealt out by ``unit``: no further exchange is needed."""
     spark = units.sparkSession
-    # one exchange serves the distinct, the lattice's grouping and the join; a number in front of the unit sorts faster
-    units = units.where(F.col("unit") != "").select(F.xxhash64("unit").alias("key"), "unit").distinct().repartition(shuffle_partitions(spark), "key")
+    units = units.select(F.xxhash64("unit").alias("key"), "unit")  # a number in front of the unit sorts faster
     byte_ids = [model.bytes_ids[b] for b in range(256)]
     if kind == "bpe":
         ranks = {x: i for i, x in enumerate(sorted({s for _, _, s in model.pieces}))}
         odd = inverting({p: s for p, _, s in model.pieces})
         pieces = spark.createDataFrame([(p, ranks[s], i, p in odd) for p, i, s in model.pieces], "piece string, rank long, id int, inverts boolean")
-        lattice = units.join(merge_edges(units, pieces, min(model.longest, LONGEST)), ["key", "unit"], "left")
-        none = {"wide": "array<struct<key:bigint,need:bigint,holds:bigint>>", "ones": "array<bigint>"}
-        lattice = lattice.withColumns({**{c: F.coalesce(c, F.array().cast(t)) for c, t in none.items()}, "inverts": F.coalesce("inverts", F.lit(False))})
-        return lattice.select("unit", merge_ids(byte_ids).alias("ids"))
+        signs = {p: i for p, i, _ in model.pieces if len(p) == 1}
+        sign_ids = [signs.get(x, -1) for x in [*map(chr, range(128)), SPACE]]
+        return merge_edges(units, pieces, min(model.longest, LONGEST)).select("unit", merge_ids(byte_ids, sign_ids).alias("ids"))
     pieces = spark.createDataFrame([(p, float(s), i) for p, i, s in model.pieces], "piece string, score double, id int")
     lattice = units.join(edges(units, pieces, model.longest), ["key", "unit"], "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<score:double,s:int,e:int,id:int>>")))
     unknown = min(s for _, _, s in model.pieces) - 10.0
@@ -239,32 +250,32 @@ def encode_units(units: DataFrame, model: Model, kind: str = "bpe") -> DataFrame
     return lattice.select("unit", segment_ids(F.col("unit"), F.col("edges"), F.col("bounds"), byte_ids).alias("ids"))
 
 
-_BLOCKS = "block long, codes binary, digest binary, units array<struct<unit:string,ids:array<int>>>"
-_UNIT = pa.struct([("unit", pa.string()), ("ids", pa.list_(pa.int32()))])
+_BLOCKS = "block long, at int, codes binary, digest binary"
 
 
 def _number(proto):
-    """Texts as numbers of their block's units, and each block's units; number 0 is a text's own U+2581."""
+    """Texts as numbers of their block's units, and each block's units in packs (``at``: the number before the first); number 0 is a text's own U+2581."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         model, press = model_of(proto.value), zstandard.ZstdCompressor(level=3)
-        block, size = TaskContext.get().partitionId() << 32, 0
+        block, size = TaskContext.get().partitionId() << 16, 0
         known: dict[str, int] = {}
-        whole: dict[str, list[int]] = {}
+        whole: dict[str, tuple[int, ...]] = {}
         kind = None
 
-        def units() -> pa.RecordBatch:
-            long = [u for u in known if len(u) > LONGEST]
-            ids = dict(zip(long, model.encode_units(long), strict=True)) if long else {}
-            rows = [[{"unit": u, "ids": ids.get(u)} for u in known]]
-            return pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([block], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array(rows, pa.list_(_UNIT))],
-                                              ["r", "block", "codes", "digest", "units"])
+        def units() -> Iterator[pa.RecordBatch]:
+            every = [u.encode() for u in known]
+            for i in range(0, len(every), PACK):
+                part = every[i : i + PACK]
+                pack = press.compress(np.array([len(part), *map(len, part)], "<u4").tobytes() + b"".join(part))
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([block], pa.int64()), pa.array([i], pa.int32()), pa.array([pack], pa.binary()), pa.nulls(1, pa.binary())],
+                                                 ["r", "block", "at", "codes", "digest"])
 
         for b in batches:
             kind = b.column(0).type
-            for lo, hi, texts in parts(b.column(1)):
+            for lo, hi, texts in parts(b.column(1), PIECE):
                 codes = []
                 for t in texts:
                     out: list[int] = []
@@ -274,168 +285,134 @@ def _number(proto):
                         for u in part:
                             x = whole.get(u)
                             if x is None:
-                                x = whole[u] = [known.setdefault(v, len(known) + 1) for v in model.apart(u)]
+                                x = whole[u] = tuple([known.setdefault(v, len(known) + 1) for v in model.apart(u)])
                             out += x
                     # bytes of one weight side by side press better
                     codes.append(press.compress(np.array(out, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
                     size += len(t)
                 n = hi - lo
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, n), pa.array(np.full(n, block), pa.int64()), pa.array(codes, pa.binary()), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.nulls(n, pa.list_(_UNIT))],
-                    ["r", "block", "codes", "digest", "units"])
-                if size >= BLOCK:
-                    if known:
-                        yield units()
+                    [b.column(0).slice(lo, n), pa.array(np.full(n, block), pa.int64()), pa.nulls(n, pa.int32()), pa.array(codes, pa.binary()), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())],
+                    ["r", "block", "at", "codes", "digest"])
+                if size >= BLOCK or len(known) > 1 << 23:
+                    yield from units()
                     block, size, known, whole = block + 1, 0, {}, {}
-        if known:
-            yield units()
+        yield from units()
 
     return run
 
 
+def _unpacked(pack: bytes) -> pa.StringArray:
+    n = int(np.frombuffer(pack, "<u4", 1)[0])
+    ends = np.concatenate(([0], np.cumsum(np.frombuffer(pack, "<u4", n, 4)))).astype(np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), pa.py_buffer(pack[4 * (n + 1) :]))
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, place) of the units up to LONGEST in each block's packs; a place is the block's number and, in its last 24 bits, the unit's."""
+    unpress = zstandard.ZstdDecompressor()
+    for b in batches:
+        b = b.select(["block", "at", "codes"]).filter(pc.is_valid(b.column("at")))
+        for block, at, pack in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            unit = _unpacked(unpress.decompress(pack))
+            short = pc.less_equal(pc.utf8_length(unit), LONGEST)
+            place = (block << 24) + np.arange(at + 1, at + len(unit) + 1)
+            yield pa.RecordBatch.from_arrays([unit, pa.array(place)], ["unit", "place"]).filter(short)
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, pack) from (place, ids), dealt anyhow: the numbers of a block's units, their count of ids and the ids, pressed."""
+    press = zstandard.ZstdCompressor(level=3)
+
+    def packs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        place = np.concatenate([np.asarray(b.column(0)) for b in held])
+        ids = pa.concat_arrays([b.column(1) for b in held])
+        order = np.argsort(place)
+        place, ids = place[order], ids.take(pa.array(order))
+        size, flat = np.asarray(pc.list_value_length(ids)), np.asarray(ids.flatten())
+        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        lo, hi = runs(place >> 24)
+        out = []
+        for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+            steps = np.diff(place[a:b] & (1 << 24) - 1, prepend=0)
+            # bytes of one weight side by side press better
+            every = np.concatenate(([b - a], steps, size[a:b], flat[ends[a] : ends[b]])).astype("<i4")
+            out.append(press.compress(every.view(np.uint8).reshape(-1, 4).T.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(place[lo] >> 24), pa.array(out, pa.binary())], ["block", "pack"])
+
+    held, n = [], 0
+    for b in batches:
+        if len(b):
+            held.append(b)
+            n += len(b)
+        if n >= HOLD:
+            yield packs(held)
+            held, n = [], 0
+    if held:
+        yield packs(held)
+
+
+def _answered(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, counts of ids and ids of these packs."""
+    unpress, at, size, flat = zstandard.ZstdDecompressor(), [], [], []
+    for x in packs:
+        every = np.frombuffer(unpress.decompress(x), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+        n = int(every[0])
+        at.append(np.cumsum(every[1 : n + 1], dtype=np.int64))
+        size.append(every[n + 1 : 2 * n + 1].astype(np.int64))
+        flat.append(every[2 * n + 1 :])
+    none = np.zeros(0, np.int64)
+    return np.concatenate((none, *at)), np.concatenate((none, *size)), np.concatenate((none.astype(np.int32), *flat))
+
+
 def _fill(proto):
-    """Ids of each text; a block's units come before its texts."""
+    """Ids of the texts of a block from those of its units."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         model, unpress = model_of(proto.value), zstandard.ZstdDecompressor()
         say = [model.to_bytes.get(i, b"") for i in range(model.sp.get_piece_size())]
         own = np.array(model.own_space, np.int32)
-        now, held, starts, sizes, values = None, [], None, None, None
-
-        def settle() -> None:
-            nonlocal starts, sizes, values, held
-            at = np.concatenate([[0], *[p for p, _, _ in held]]).astype(np.int64)
-            n = np.concatenate([[len(own)], *[z for _, z, _ in held]]).astype(np.int64)
-            values = np.concatenate([own, *[v for _, _, v in held]])
-            sizes, starts = np.zeros(at.max() + 1, np.int64), np.zeros(at.max() + 1, np.int64)
-            sizes[at] = n
-            starts[at] = np.cumsum(n) - n
-            held = []
-
-        for batch in batches:
-            block = np.asarray(batch.column(0))
-            edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))).tolist() + [len(block)] if len(block) else [0]
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                some = batch.slice(lo, hi - lo)
-                if block[lo] != now:
-                    now, held, starts = block[lo], [], None
-                unit = pc.is_valid(some.column(1))
-                words = some.filter(unit)
-                if len(words):
-                    ids = words.column(2)
-                    held.append((np.asarray(words.column(1)), np.asarray(pc.list_value_length(ids)), np.asarray(ids.flatten())))
-                texts = some.filter(pc.invert(unit))
-                if not len(texts):
-                    continue
-                if starts is None:
-                    settle()
-                for k in range(0, len(texts), 256):
-                    part = texts.slice(k, 256)
-                    raw = [unpress.decompress(x) for x in part.column(4).to_pylist()]
-                    codes = [np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for x in raw]
-                    every = np.concatenate(codes).astype(np.int64)
-                    n = sizes[every]
-                    ends = np.cumsum(n)
-                    flat = values[np.repeat(starts[every] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-                    last = np.cumsum([len(c) for c in codes])
-                    cuts = np.concatenate(([0], np.concatenate(([0], ends))[last]))
-                    same = []
-                    for i, d in enumerate(part.column(5).to_pylist()):
-                        back = b"".join([say[x] for x in flat[cuts[i] : cuts[i + 1]].tolist()])[1:]
-                        same.append(hashlib.md5(back).digest() == d)
-                    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([part.column(3), lists, pa.array(same, pa.bool_())], ["r", "ids", "exact"])
-
-    return run
-
-
-def _counts(proto):
-    """Counts of all units up to LONGEST of a task, in parts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = model_of(proto.value), Counter()
-
-        def report() -> Iterator[pa.RecordBatch]:
-            some = [u for u in seen if len(u) <= LONGEST]
-            for i in range(0, len(some), 50_000):
-                part = some[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[u] for u in part], pa.int64())], ["unit", "n"])
-
-        for b in batches:
-            for _, _, texts in parts(b.column(0)):
-                for t in texts:
-                    for part in model.units(t.decode()) if t else []:
-                        seen.update(part)
-                if len(seen) > HOLD:
-                    yield from report()
-                    seen.clear()
-        yield from report()
-
-    return run
-
-
-def _pressed(ids: list[int]) -> bytes:
-    """Ids as 32-bit numbers side by side, a third of a list's memory."""
-    return array("i", ids).tobytes()
-
-
-def dictionary(docs: DataFrame, text_col: str, proto: bytes, kind: str = "bpe", most: int = FREQUENT) -> dict[str, bytes]:
-    """Pressed ids of the ``most`` units that the corpus holds most often (ties by unit), from the relational lattice."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(proto)
-    units = docs.select(column(text_col)).mapInArrow(lean(_counts(sent)), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    top = cut(units.orderBy(F.desc("n"), "unit").limit(most).select("unit"))
-    return {r["unit"]: _pressed(r["ids"]) for r in encode_units(top, model_of(proto), kind).collect()}
-
-
-def _in_place(sent):
-    """Ids of each text from the dictionary, and from the library for other units."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        proto, known = sent.value
-        model, ids_of = model_of(proto), dict(known)
-        own = _pressed(model.own_space)
-        for b in batches:
-            for lo, hi, texts in parts(b.column(1), PIECE):
-                split = [model.units(t.decode()) if t else [] for t in texts]
-                new = {u for parted in split for part in parted for u in part if u not in ids_of}
-                if len(ids_of) + len(new) > len(known) + HOLD:
-                    ids_of = dict(known)
-                    new = {u for parted in split for part in parted for u in part if u not in ids_of}
-                ids_of.update(zip(new, map(_pressed, model.encode_units(list(new))), strict=True))
-                out, counts, same = [], [0], []
-                for t, parted in zip(texts, split, strict=True):
-                    ids = np.frombuffer(own.join([b"".join([ids_of[u] for u in part]) for part in parted]), np.int32)
-                    out.append(ids)
-                    counts.append(len(ids))
-                    same.append(model.decode(ids.tolist()) == t)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.concatenate(out)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists, pa.array(same, pa.bool_())], ["r", "ids", "exact"])
+        at, n, flat = _answered(known.column("pack").to_pylist())
+        long = {}
+        packs = texts.filter(pc.is_valid(texts.column("at")))
+        for lo, pack in zip(packs.column("at").to_pylist(), packs.column("codes").to_pylist(), strict=True):
+            unit = _unpacked(unpress.decompress(pack))
+            for i in np.flatnonzero(np.asarray(pc.utf8_length(unit)) > LONGEST).tolist():
+                long[lo + 1 + i] = model.encode_units([unit[i].as_py()])[0]
+        at = np.concatenate((at, np.fromiter(long, np.int64, len(long))))
+        n = np.concatenate((n, np.fromiter(map(len, long.values()), np.int64, len(long))))
+        values = np.concatenate((own, flat, *(np.array(x, np.int32) for x in long.values())))
+        sizes, starts = (np.zeros(1 + int(at.max() if len(at) else 0), np.int64) for _ in range(2))
+        sizes[0], sizes[at], starts[at] = len(own), n, len(own) + np.cumsum(n) - n
+        texts = texts.filter(pc.is_null(texts.column("at")))
+        out = [texts.slice(0, 0).select(["r"]).append_column("ids", pa.array([], pa.list_(pa.int32()))).append_column("exact", pa.array([], pa.bool_()))]
+        for k in range(0, len(texts), 128):
+            part = texts.slice(k, 128)
+            codes = [np.frombuffer(unpress.decompress(x), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for x in part.column("codes").to_pylist()]
+            every = np.concatenate(codes)
+            n = sizes[every]
+            ends = np.cumsum(n)
+            flat = values[np.repeat(starts[every] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, codes)])].astype(np.int32)
+            same = []
+            for i, d in enumerate(part.column("digest").to_pylist()):
+                back = b"".join([say[x] for x in flat[cuts[i] : cuts[i + 1]].tolist()])[1:]
+                same.append(hashlib.md5(back).digest() == d)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat, pa.int32()))
+            out.append(part.select(["r"]).append_column("ids", lists).append_column("exact", pa.array(same, pa.bool_())))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _by_blocks(rows: DataFrame, proto: bytes, kind: str, schema: D.StructType) -> DataFrame:
-    """Ids of ``rows(r, t)`` with every distinct unit encoded relationally."""
-    sent = rows.sparkSession.sparkContext.broadcast(proto)
-    blocks = cut(rows.mapInArrow(lean(_number(sent)), D.StructType([schema["r"], *D.StructType.fromDDL(_BLOCKS).fields])))
-    units = blocks.where("units is not null").select("block", F.posexplode("units").alias("at", "u")).select("block", (F.col("at") + 1).alias("at"), "u.unit", "u.ids")
-    short = units.where("ids is null").drop("ids")
-    known = short.join(encode_units(short, model_of(proto), kind), "unit").select("block", "at", "ids").unionByName(units.where("ids is not null").select("block", "at", "ids"))
-    nothing = F.lit(None)
-    both = known.select("block", "at", "ids", nothing.cast(schema["r"].dataType).alias("r"), nothing.cast("binary").alias("codes"), nothing.cast("binary").alias("digest")).unionByName(
-        blocks.where("units is null").select("block", nothing.cast("int").alias("at"), nothing.cast("array<int>").alias("ids"), "r", "codes", "digest"))
-    dealt = both.repartition("block").sortWithinPartitions("block", F.col("at").asc_nulls_last())
-    return dealt.mapInArrow(lean(_fill(sent)), schema)
-
-
 def encode(docs: DataFrame, text_col: str = "text", model: str | bytes = MODEL, kind: str = "bpe", carry: list[str] | None = None,
-           frequent: int | None = FREQUENT) -> DataFrame:
+           frequent: int | None = None) -> DataFrame:
     """The ``carry`` columns of ``docs`` (all by default) plus ``ids`` (piece ids of the whole text) and ``exact`` (decoding gave back every byte).
 
     A null or empty text has no ids. A U+2581 in a text is kept by its bytes,
-    which the library would make a space; else ids equal the library's, whatever
-    ``frequent`` is. A column that carries an output's name comes back with
+    which the library would make a space; else ids equal the library's.
+    ``frequent`` is taken for older callers and changes nothing: frequent or
+    rare, every unit takes the lattice. A column that carries an output's name comes back with
     ``_input`` behind it. Repeated rows get equal ids; an empty table gives an
     empty result.
     """
@@ -443,11 +420,14 @@ def encode(docs: DataFrame, text_col: str = "text", model: str | bytes = MODEL,
     proto = read_model(model) if isinstance(model, str) else model
     rows = docs.select(packed(docs.columns if carry is None else carry, ["ids", "exact"]), column(text_col).alias("t"))
     schema = D.StructType([D.StructField("r", rows.schema["r"].dataType), *D.StructType.fromDDL("ids array<int>, exact boolean").fields])
-    if frequent is None:
-        done = _by_blocks(rows, proto, kind, schema)
-    else:
-        sent = spark.sparkContext.broadcast((proto, dictionary(docs, text_col, proto, kind, frequent)))
-        done = rows.mapInArrow(lean(_in_place(sent)), schema)
+    sent = spark.sparkContext.broadcast(proto)
+    blocks = rows.mapInArrow(lean(_number(sent)), D.StructType([schema["r"], *D.StructType.fromDDL(_BLOCKS).fields])).repartition("block")
+    # the exchange of the blocks serves the units and the texts, that of the units the lattice and the join; no column is left out of either, so that plans agree
+    asked = blocks.mapInArrow(lean(_asked), "unit string, place long").where("unit IS NOT NULL").repartition(shuffle_partitions(spark), "unit")
+    units = asked.groupBy("unit").agg(F.max("place").alias("p")).where("p >= 0")
+    ids = _encoded(units, model_of(proto), kind).hint("shuffle_hash")
+    known = asked.join(ids, "unit").select("place", "ids").mapInArrow(lean(_answers), "block long, pack binary")
+    done = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_fill(sent), schema)
     return done.select("r.*", "ids", "exact")
 
 
