@@ -37,8 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONGEST = 61
 #: Bytes of text in a block.
 BLOCK = 32 << 20
-#: Bytes of text that a step works on.
-PIECE = 1 << 18
+#: Signs whose bounds are sought at a time.
+STEP = 1 << 17
 #: Units whose ids a task packs at a time.
 HOLD = 250_000
 #: Units in a row on their way to the lattice.
@@ -62,7 +62,16 @@ class Model:
             raise ValueError("a piece holds a space after another sign")
         breaks = "".join(c for c in "\t\n\x0b\x0c" if not any(c in p for p, _, _ in self.pieces))
         self.unit = re.compile(f"{SPACE}+[^{SPACE}{breaks}]*|[^{SPACE}{breaks}]+|[{breaks}]")
+        self.breaks = list(map(ord, breaks))
         self.pairs = {p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1)}
+        # signs of the pairs by number (0: in none), and a bit for each two of them: whether they stand side by side
+        signs = sorted({x for pair in self.pairs for x in pair})
+        self.sign = np.zeros(0x110000, np.uint16 if len(signs) < 1 << 16 else np.uint32)
+        self.sign[[ord(x) for x in signs]] = np.arange(1, len(signs) + 1)
+        self.signs = len(signs) + 1
+        at = np.array([int(self.sign[ord(x)]) * self.signs + int(self.sign[ord(y)]) for x, y in self.pairs], np.int64)
+        self.glued = np.zeros((self.signs * self.signs >> 3) + 1, np.uint8)
+        np.bitwise_or.at(self.glued, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         self.to_bytes = {i: bytes([b]) for b, i in self.bytes_ids.items()} | {i: p.replace(SPACE, " ").encode() for p, i, _ in self.pieces}
         self.own_space = [self.bytes_ids[b] for b in SPACE.encode()]
 
@@ -77,6 +86,46 @@ class Model:
         at = [0, *(i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.pairs), len(unit)]
         return [unit[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
+    def cut(self, texts: list[bytes]) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+        """All texts' units (``units``, each taken ``apart``) in order, which of them are a text's own U+2581, and each text's bounds among them."""
+        whole = b"".join([b" " + t if t else b"" for t in texts]).decode()
+        lengths = np.array([len(t) for t in texts], np.int64)
+        begins = np.concatenate(([0], np.cumsum(lengths + (lengths > 0))))  # bytes, with the spaces in front
+        starts, mine, heads = [], [], []  # of units, and of texts among the units' bytes
+        given = put = 0  # bytes before a step, and as the units have them: a space is three bytes there
+        last = ""
+        for lo in range(0, len(whole), STEP):
+            code = np.frombuffer((last + whole[lo : lo + STEP]).encode("utf-32-le"), "<u4")
+            own, blank = code == ord(SPACE), code == 32
+            code = np.where(blank, np.uint32(ord(SPACE)), code)
+            sign = self.sign[code].astype(np.int64)
+            pair = sign[:-1] * self.signs + sign[1:]
+            new = self.glued[pair >> 3] >> (pair & 7).astype(np.uint8) & 1 == 0
+            new |= (blank[1:] & ~blank[:-1]) | own[1:] | own[:-1]
+            for x in self.breaks:
+                new |= (code[1:] == x) | (code[:-1] == x)
+            if not last:
+                new = np.append(True, new)
+            else:
+                code, own, blank = code[1:], own[1:], blank[1:]
+            width = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF).astype(np.int64)
+            place = put + np.cumsum(width) - width
+            plain = np.where(blank, 1, width)
+            at = given + np.cumsum(plain) - plain
+            given, put = int(at[-1] + plain[-1]), int(place[-1] + width[-1])
+            k = np.searchsorted(at, begins[(begins >= at[0]) & (begins < given)])
+            new[k] = True
+            heads.append(place[k])
+            starts.append(place[new])
+            mine.append(own[new])
+            last = whole[lo + len(code) - 1]
+        none = np.zeros(0, np.int64)
+        start = np.concatenate((none, *starts))
+        data = whole.replace(" ", SPACE).encode()
+        units = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.append(start, put).astype(np.int32).tobytes()), pa.py_buffer(data))
+        heads = np.concatenate((none, *heads, np.full(int((begins == given).sum()), put)))
+        return units, np.concatenate((none.astype(bool), *mine)), np.searchsorted(start, heads)
+
     def encode_units(self, units: list[str]) -> list[list[int]]:
         """Ids of units by the library, which puts a space before what it is given."""
         nl = self.bytes_ids[10]
@@ -262,9 +311,15 @@ def _number(proto):
         model, press = model_of(proto.value), zstandard.ZstdCompressor(level=3)
         block, size = TaskContext.get().partitionId() << 16, 0
         known: dict[str, int] = {}
-        whole: dict[str, tuple[int, ...]] = {}
         kind = None
 
+        def numbered(units: pa.StringArray) -> np.ndarray:
+            every = units.to_numpy(zero_copy_only=False).tolist()
+            out = list(map(known.get, every))
+            for i in [i for i, x in enumerate(out) if x is None]:
+                known[every[i]] = out[i] = len(known) + 1
+            return np.array(out, np.int64)
+
         def units() -> Iterator[pa.RecordBatch]:
             every = [u.encode() for u in known]
             for i in range(0, len(every), PACK):
@@ -275,28 +330,21 @@ def _number(proto):
 
         for b in batches:
             kind = b.column(0).type
-            for lo, hi, texts in parts(b.column(1), PIECE):
-                codes = []
-                for t in texts:
-                    out: list[int] = []
-                    for k, part in enumerate(model.units(t.decode()) if t else []):
-                        if k:
-                            out.append(0)
-                        for u in part:
-                            x = whole.get(u)
-                            if x is None:
-                                x = whole[u] = tuple([known.setdefault(v, len(known) + 1) for v in model.apart(u)])
-                            out += x
-                    # bytes of one weight side by side press better
-                    codes.append(press.compress(np.array(out, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
-                    size += len(t)
+            for lo, hi, texts in parts(b.column(1)):
+                unit, own, ends = model.cut(texts)
+                coded = unit.filter(pa.array(~own)).dictionary_encode()
+                every = np.zeros(len(unit), "<u4")
+                every[~own] = numbered(coded.dictionary)[np.asarray(coded.indices)]
+                # bytes of one weight side by side press better
+                codes = [press.compress(every[i:j].view(np.uint8).reshape(-1, 4).T.tobytes()) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                size += sum(map(len, texts))
                 n = hi - lo
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, n), pa.array(np.full(n, block), pa.int64()), pa.nulls(n, pa.int32()), pa.array(codes, pa.binary()), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())],
                     ["r", "block", "at", "codes", "digest"])
                 if size >= BLOCK or len(known) > 1 << 23:
                     yield from units()
-                    block, size, known, whole = block + 1, 0, {}, {}
+                    block, size, known = block + 1, 0, {}
         yield from units()
 
     return run

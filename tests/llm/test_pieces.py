@@ -30,3 +30,20 @@ def test_blocks_and_answers_in_parts(spark):
     for r in out:
         at, size, flat = sentencepiece._answered([r["pack"]])
         assert at.tolist() == list(range(1, 400)) and size.tolist() == [i % 3 for i in at.tolist()] and flat.tolist() == [i % 7 for i in at.tolist() for _ in range(i % 3)]
+
+
+def test_units_cut_at_once(monkeypatch):
+    """The units of many texts, found by steps of any length, against those of one text after another."""
+    monkeypatch.setattr(sentencepiece, "STEP", 37)
+    m = sentencepiece.model_of(sentencepiece.read_model())
+    r = random.Random(3)
+    signs = [" ", "  ", "▁", "▁▁", "\t", "\n", "\x0b", "\x0c", "\r", "\xa0", "\x00", "a", "é", "日", "𝄞", "ing", "the", ".", "===", "0"]
+    texts = ["", "▁", " ", "a▁", "", *("".join(r.choices(signs, k=r.randrange(60))) for _ in range(500)), "", ""]
+    unit, own, ends = m.cut([t.encode() for t in texts])
+    unit = unit.to_pylist()
+    for t, lo, hi in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        want = []
+        for k, part in enumerate(m.units(t) if t else []):
+            want += [None] * (k > 0) + [v for u in part for v in m.apart(u)]
+        assert [None if o else u for u, o in zip(unit[lo:hi], own[lo:hi].tolist(), strict=True)] == want
+    assert [len(x) for x in m.cut([])] == [0, 0, 1] and m.cut([b"", b""])[2].tolist() == [0, 0, 0]
