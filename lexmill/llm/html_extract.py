@@ -4,11 +4,16 @@ A parser cuts a page into blocks and tells main and article elements from their
 surroundings by elements, roles and class names; main and articles are weighed
 by their text, and where neither has the greater part of a page's text the page
 counts as unmarked. Inside a marked element a name that may as well be the
-author's word ("social", "notices") is no verdict: such blocks stay open. Open
-blocks and unmarked pages are settled by their host: their tokens form streams,
-every suffix is cut at the least length of a repeat, and equal ones (neighbours
-in the host's suffix array) that start in many different pages mark
-boilerplate. Tokens covered by such runs go, unique runs stay.
+author's word ("social", "notices") is no verdict: such blocks stay open.
+
+Then every page goes through its host's suffixes. Each is cut at the least
+length of a repeat and equal ones (neighbours in the host's suffix array) are
+counted by the distinct pages they start in, all but those inside a marked
+article: what unmarked pages, open blocks and surroundings repeat on half of a
+host's pages is the host's, while an article's copies say nothing. Such runs go
+from unmarked pages and open blocks. From a marked article they go if three
+articles of the host hold them, as what surrounds a page may well quote one
+article's heading. Unique runs stay.
 """
 
 from __future__ import annotations
@@ -17,17 +22,24 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
-from .common import cut
+from .common import cut, lean, mix, word_bounds, word_hashes
 
 #: Least tokens of a repeated run.
 RUN = 8
 #: Least distinct streams, and least share of a host's streams, that a run must start in: what half of a site's pages
 #: say is the site's; a passage that some pages quote is theirs.
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
+#: Repeated runs of all hosts up to which they are broadcast to the pages; more meet them by a join.
+BROADCAST = 500_000
+#: Shares of a host in that join.
+SALT = 64
 
 # Fixed values of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -108,12 +120,12 @@ def _judge(tag: str, attrs: str, inside: bool) -> int:
 
 def parse(html: str) -> tuple[list[str], list[str]]:
     """(article blocks, other blocks) of a page, in page order; the first is empty if no main or article element holds most of the text."""
-    found, rest = regions(html)
+    found, rest, _ = regions(html)
     return [t for t, _ in found], rest
 
 
-def regions(html: str) -> tuple[list[tuple[str, bool]], list[str]]:
-    """As ``parse``, with each article block whether it is open."""
+def regions(html: str) -> tuple[list[tuple[str, bool]], list[str], list[str]]:
+    """As ``parse``, with each article block whether it is open; and what neither holds: texts of surroundings by their element, name or links."""
     blocks: list[tuple[int, int, str]] = []  # 0 other, 1 main, 2 article outside of it; number of the open box, if any; text
     stack: list[tuple[str, int, int, int, int]] = []  # tag, region, surroundings that are open, open box, links that are open
     places: dict[str, list[int]] = {}  # of the tags in the stack
@@ -121,8 +133,14 @@ def regions(html: str) -> tuple[list[tuple[str, bool]], list[str]]:
     boxes: list[list[int]] = [[0, 0]]  # signs, and those in links, of each open box
     level = dropped = box = links = 0
     text: list[str] = []
+    aside: list[str] = []
+    gone: list[str] = []
 
     def end_block() -> None:
+        if aside:
+            if t := " ".join("".join(aside).split()):
+                gone.append(t)
+            aside.clear()
         if text:
             if t := " ".join("".join(text).split()):
                 blocks.append((level, box, t))
@@ -141,7 +159,10 @@ def regions(html: str) -> tuple[list[tuple[str, bool]], list[str]]:
     while pos < n:
         m = _TOKEN.search(html, pos)
         at = m.start() if m else n
-        if at > pos and not dropped:
+        if at > pos and dropped:
+            t = html[pos:at]
+            aside.append(unescape(t) if "&" in t else t)
+        elif at > pos:
             t = html[pos:at]
             t = unescape(t) if "&" in t else t
             text.append(t)
@@ -165,7 +186,7 @@ def regions(html: str) -> tuple[list[tuple[str, bool]], list[str]]:
                 pop(i)
             continue
         if tag == "br":
-            text.append(" ")
+            (aside if dropped else text).append(" ")
             continue
         if tag in _BLOCK:
             end_block()
@@ -198,43 +219,121 @@ def regions(html: str) -> tuple[list[tuple[str, bool]], list[str]]:
     end_block()
     size = [sum(len(t) for k, _, t in blocks if k == want) for want in (0, 1, 2)]
     if size[0] > size[1] + size[2] or not any(size[1:]):
-        return [], [t for _, _, t in blocks]
+        return [], [t for _, _, t in blocks], gone
     least = (1,) if size[1] >= size[2] else (1, 2)
     linked = {i for i, (signs, inside) in enumerate(boxes) if i and inside >= LINKS * signs}
-    return [(t, b > 0) for k, b, t in blocks if k in least and b not in linked], [t for k, _, t in blocks if k not in least]
+    gone += [t for k, b, t in blocks if k in least and b in linked]
+    return [(t, b > 0) for k, b, t in blocks if k in least and b not in linked], [t for k, _, t in blocks if k not in least], gone
 
 
-_OPEN_BLOCKS = pa.list_(pa.struct([("t", pa.string()), ("o", pa.bool_())]))
+class Page:
+    """A page's kept blocks, and the texts whose suffixes, each cut at ``RUN`` words, may be its host's."""
 
+    def __init__(self, html: str):
+        found, rest, gone = regions(html)
+        self.blocks = [t for t, _ in found] or rest
+        self.around = " ".join(gone + rest if found else gone)
+        #: ranges of blocks of open and of marked text; runs cross the blocks of a range
+        self.open: list[tuple[int, int]] = []
+        self.own: list[tuple[int, int]] = []
+        #: whether an open text shorter than a run is a run
+        self.short = bool(found)
+        if not found:
+            self.open.append((0, len(rest)))
+        lo, flags = 0, [o for _, o in found]
+        for i, o in enumerate(flags):
+            if o:
+                self.open.append((i, i + 1))
+                lo = i + 1
+            elif i + 1 == len(flags) or flags[i + 1]:
+                self.own.append((lo, i + 1))
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts, rest = [], []
-        for h in b.column(1).to_pylist():
-            main, other = regions(h or "")
-            settled = bool(main) and not any(o for _, o in main)
-            texts.append("\n".join(t for t, _ in main) if settled else None)
-            rest.append(None if settled else [{"t": t, "o": o} for t, o in main] if main else [{"t": t, "o": True} for t in other])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(rest, _OPEN_BLOCKS)], ["__u", "__text", "__rest"])
+    def texts(self, ranges: list[tuple[int, int]]) -> list[str]:
+        return [" ".join(self.blocks[i:j]) for i, j in ranges]
 
+    def name(self) -> int:
+        """Equal for pages of equal kept words."""
+        return xxhash.xxh64_intdigest(" ".join(self.blocks).encode()) - (1 << 63)
 
-def _windows(t: Column) -> Column:
-    """The suffixes of a stream that may mark boilerplate, each cut at ``RUN`` tokens: array of (at, n, key).
+    def text(self, repeated: list[int], quoted: list[int]) -> str:
+        """The blocks without the host's runs: ``repeated`` ones in open text, ``quoted`` ones in marked text."""
+        todo = [(r, k, s) for ranges, k, s in ((self.open, repeated, self.short), (self.own, quoted, False)) for r in ranges if k]
+        if not todo:
+            return "\n".join(self.blocks)
+        ends = np.cumsum([0, *(t.count(" ") + 1 for t in self.blocks)])
+        steps = np.zeros(int(ends[-1]) + 1, np.int64)
+        for (i, j), known, short in todo:
+            keys = _keys(self.texts([(i, j)]), [short])[0]
+            at = ends[i] + np.flatnonzero(np.isin(keys, np.array(known, np.int64)))
+            np.add.at(steps, at, 1)
+            np.add.at(steps, np.minimum(at + RUN, ends[j]), -1)
+        gone = np.cumsum(steps) > 0
+        out = []
+        for t, a, b in zip(self.blocks, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if gone[a:b].any():
+                t = " ".join(w for w, g in zip(t.split(" "), gone[a:b].tolist(), strict=True) if not g)
+            if t:
+                out.append(t)
+        return "\n".join(out)
 
-    On an unmarked page, where all tokens are open, runs cross blocks; on a
-    marked one they stay in an open block, which may be shorter than a run.
-    """
-    n = F.size(t)
-    every = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    unmarked = F.forall(t, lambda x: x["o"])
-    # 128 bits stand for a run
-    key = lambda w: F.md5(F.concat_ws(" ", F.size(w).cast("string"), F.transform(w, lambda x: x["w"])))
-    window = lambda i, w: F.struct(i.alias("at"), F.size(w).alias("n"), key(w).alias("key"))
-    whole = F.transform(F.filter(every, lambda i: i <= n - (RUN - 1)), lambda i: window(i, F.slice(t, i, RUN)))
-    same = lambda i: F.filter(F.slice(t, i, RUN), lambda x: x["b"] == F.element_at(t, i)["b"])
-    first = lambda i: (i == 1) | (F.element_at(t, F.greatest(i - 1, F.lit(1)))["b"] != F.element_at(t, i)["b"])
-    inside = F.transform(F.filter(every, lambda i: F.element_at(t, i)["o"] & ((F.size(same(i)) == RUN) | first(i))), lambda i: window(i, same(i)))
-    return F.when(unmarked, whole).otherwise(inside)
+
+def _keys(texts: list[str], short: list[bool]) -> list[np.ndarray]:
+    """64-bit keys of the runs of ``RUN`` words that start at each word of each text; a text of fewer words, where ``short``, is a run itself."""
+    buf = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    words = word_hashes(buf, *word_bounds(buf))
+
+    def runs(w: np.ndarray, n: int) -> np.ndarray:
+        g = mix(w[: max(0, len(w) - n + 1)] + np.uint64(n))
+        for j in range(1, n):
+            g = mix(g + w[j : j + len(g)])
+        return g.view(np.int64)
+
+    every, a, out = runs(words, RUN), 0, []
+    for t, s in zip(texts, short, strict=True):
+        n = t.count(" ") + 1 if t else 0
+        out.append(runs(words[a : a + n], n) if s and 0 < n < RUN else every[a : max(a, a + n - RUN + 1)])
+        a += n
+    return out
+
+
+def _suffixes(marked: bool):
+    """(host, page, runs): keys of the runs of each page's open text and surroundings, or of its ``marked`` article."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), 256):
+                part = b.slice(lo, 256)
+                names, sizes, texts, short = [], [], [], []
+                for h in part.column(1).to_pylist():
+                    p = Page(h or "")
+                    own = p.texts(p.own) if marked else [p.around, *p.texts(p.open)]
+                    names.append(p.name())
+                    sizes.append(len(own))
+                    texts += own
+                    short += [False] * len(own) if marked else [False, *[p.short] * len(p.open)]
+                keys = _keys(texts, short)
+                ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))))[np.cumsum([0, *sizes])]
+                runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate((np.zeros(0, np.int64), *keys))))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), runs], ["host", "page", "runs"])
+
+    return run
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = []
+        for h, repeated, quoted in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            texts.append(Page(h or "").text(repeated or [], quoted or []))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["__u", "text"])
+
+
+def _met(pages: DataFrame, runs: DataFrame, few: bool) -> DataFrame:
+    """``pages`` with the columns of ``runs``, a row for each host; a host's many pages are dealt out if not few runs."""
+    if few:
+        return pages.join(F.broadcast(runs), "host", "left")
+    dealt = runs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in pages.columns if c in ("html", "page")]), F.lit(SALT)).cast("int")
+    return pages.withColumn("salt", salt).join(dealt, ["host", "salt"], "left").drop("salt")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -246,27 +345,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Repeated rows are one page for the host's suffixes and give equal results.
     An empty table gives an empty result.
     """
-    parsed = cut(pages.select(F.struct(F.col(id_col).alias("i"), F.col(url_col).alias("u")).alias("__u"), html_col).mapInArrow(
-        _parse, f"__u struct<i:{pages.select(id_col).schema[0].dataType.simpleString()},u:string>, __text string, __rest array<struct<t:string,o:boolean>>"))
-    done = parsed.where("__text IS NOT NULL").select("__u", F.col("__text").alias("text"))
-    host = F.coalesce(F.lower(F.regexp_extract(F.col("__u.u"), r"^(?:[a-zA-Z][-+.\w]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    # tokens carry their block's number, so that blocks can be put together again, and whether it is open
-    tokens = F.flatten(F.transform("__rest", lambda x, i: F.transform(F.split(x["t"], " "), lambda w: F.struct(i.alias("b"), w.alias("w"), x["o"].alias("o")))))
-    streams = parsed.where("__text IS NULL").select("__u", host.alias("__host"), tokens.alias("__t"))
-    streams = streams.withColumn("__s", F.md5(F.array_join(F.transform("__t", lambda x: F.concat(x["w"], F.when(x["o"], " ").otherwise("\n"))), "")))
-    distinct = streams.groupBy("__host", "__s").agg(F.first("__t").alias("__t"))
-    suffixes = distinct.select("__host", "__s", F.explode(_windows(F.col("__t"))).alias("__w")).select("__host", "__s", "__w.*")
-    hosts = distinct.groupBy("__host").agg(F.count(F.lit(1)).alias("__n"))
-    repeated = suffixes.select("__host", "key", "__s").distinct().groupBy("__host", "key").agg(F.count(F.lit(1)).alias("__c"))
-    repeated = repeated.join(hosts, "__host").where((F.col("__c") >= LEAST_PAGES) & (F.col("__c") >= LEAST_SHARE * F.col("__n"))).select("__host", "key")
-    covered = suffixes.join(repeated, ["__host", "key"]).groupBy("__host", "__s").agg(F.collect_set(F.struct("at", "n")).alias("__c"))
-    gone = F.flatten(F.transform(F.coalesce("__c", F.array().cast("array<struct<at:int,n:int>>")), lambda q: F.sequence(q["at"], q["at"] + q["n"] - 1)))
-    every = F.when(F.size("__t") > 0, F.sequence(F.lit(1), F.size("__t"))).otherwise(F.array().cast("array<int>"))
-    rest = distinct.join(covered, ["__host", "__s"], "left").withColumn("__i", F.array_except(every, gone))
-    rest = rest.withColumn("__l", F.transform("__i", lambda i: F.element_at("__t", i)))
-    # a token is led by a line end where its block differs from the one before
-    lead = F.transform("__l", lambda x, i: F.concat(F.when(i == 0, "").when(F.element_at("__l", F.greatest(i, F.lit(1)))["b"] == x["b"], " ").otherwise("\n"), x["w"]))
-    rest = rest.select("__host", "__s", F.array_join(lead, "").alias("text"))
-    settled = streams.select("__u", "__host", "__s").join(rest, ["__host", "__s"]).select("__u", "text")
-    return done.unionByName(settled).select(
-        F.col("__u.i").alias(id_col), F.col("__u.u").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
+    host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^(?:[a-zA-Z][-+.\w]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    given = pages.select(F.struct(F.col(id_col).alias("i"), F.col(url_col).alias("u")).alias("__u"), F.xxhash64(host).alias("host"), F.col(html_col).alias("html"))
+    suffixes = lambda marked: given.select("host", "html").mapInArrow(lean(_suffixes(marked)), "host long, page long, runs array<long>")
+    # a run that is null stands for the page itself
+    starts = suffixes(False).select("host", "page", F.explode(F.concat(F.array(F.lit(None).cast("long")), "runs")).alias("run")).distinct()
+    counts = cut(starts.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= LEAST_PAGES) | F.col("run").isNull()))
+    hosts = counts.where("run IS NULL").select("host", F.col("n").alias("pages"))
+    often = counts.where("run IS NOT NULL").join(hosts, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages"))
+    repeated = cut(often.groupBy("host").agg(F.collect_list("run").alias("repeated")))
+    few = (repeated.agg(F.sum(F.size("repeated"))).first()[0] or 0) <= BROADCAST
+    inside = _met(suffixes(True), repeated, few).select("host", "page", F.explode(F.array_intersect("runs", "repeated")).alias("run")).distinct()
+    quoted = inside.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES).groupBy("host").agg(F.collect_list("run").alias("quoted"))
+    runs = cut(repeated.join(quoted, "host", "left"))
+    schema = D.StructType([given.schema["__u"], D.StructField("text", D.StringType())])
+    settled = _met(given, runs, few).select("__u", "html", "repeated", "quoted").mapInArrow(lean(_settle), schema)
+    return settled.select(F.col("__u.i").alias(id_col), F.col("__u.u").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -405,6 +405,24 @@ def test_open_boxes_are_settled_by_the_host(spark):
     assert got == {i: f"Title {i}\nown text of page {i}" for i in range(4)} | {9: "Title 9\nits own remark\nown text of page 9"} | {20 + i: f"Title {i}\nremark {i}\nown text of page {i}" for i in range(4)}
 
 
+@pytest.mark.parametrize("most", [html_extract.BROADCAST, 0])
+def test_every_page_goes_through_its_hosts_suffixes(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "BROADCAST", most)
+    foot = "this site is run by volunteers who write in their spare time"
+    head = "a heading of more than eight words that every page of the site quotes"
+    own = lambda i: " ".join(f"w{i}_{k}" for k in range(30))
+    page = lambda i, more="", tail=foot: f"<nav>{head}</nav><article><h1>{own(i)}</h1>{more}</article><div>{tail}</div>"
+    rows = [(i, "http://h/", page(i)) for i in range(6)]
+    rows += [(10, "http://h/", f"<p>{own(10)}</p><p>{foot}</p>")]  # unmarked, alone on its host
+    rows += [(20 + i, "http://h/", page(20 + i, f"<p>{foot}</p>")) for i in range(3)]  # the site's words inside three articles
+    rows += [(30, "http://h/", page(30, f"<h2>{head}</h2>"))]  # what others quote is its own
+    rows += [(40 + i, "http://g/", f"<nav>n{i}</nav><article>{own(1)} v{i}</article>") for i in range(4)]  # copies of one article
+    rows += [(50, "http://g/", f"<p>{own(1)}</p>"), (51, "http://g/", None)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: own(i) for i in [*range(6), 10, 20, 21, 22]} | {30: f"{own(30)}\n{head}"} | {40 + i: f"{own(1)} v{i}" for i in range(4)} | {50: own(1), 51: ""}
+    assert got == want
+
+
 # ------------------------------------------------------------------------ media
 @pytest.mark.parametrize("part", [b"PK\x03\x04", b"%PDF-", b"%PDF-startxref", b"\xff\xd8\xff", b"\xff\xd8\xff\xe0\x00\x05\xff\xd8\xff", b"GIF89a" + bytes(8) + b",", b"GIF87a\x21\x01\x01", b"RIFF\x10\x00\x00\x00WAVE",
                                   b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + bytes(17), b"BM", b"\x1f\x8b\x08", b"PK\x05\x06PK\x03\x04", b"%%EOF%PDF-"])
