@@ -1,0 +1,41 @@
+"""SimHash's part in near-dedup: what it links is so, and what it can't tell is found all the same."""
+
+import random
+
+import numpy as np
+
+from lexmill.llm import near_dedup
+
+
+def test_simhash_finds_what_the_prefixes_needn_t(spark, monkeypatch):
+    found, plain = [], near_dedup.simhash_pairs
+    monkeypatch.setattr(near_dedup, "simhash_pairs", lambda v: found.append((v, plain(v))) or found[-1][1])
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(600)]
+    texts = [" ".join(base[:k] + [f"n{k}"] + base[k + 1 :]) for k in range(0, 600, 30)]  # one word apart from the base
+    wide = [f"x{i}" for i in range(200)]
+    texts += [" ".join(wide), " ".join(w if i % 64 else f"y{i}" for i, w in enumerate(wide))]  # Jaccard 4/5 or so
+    texts += [" ".join(f"z{rng.randrange(9000)}" for _ in range(80)) for _ in range(40)]
+    sets = near_dedup.shingle_sets([t.encode() for t in texts])
+    sims = [near_dedup._sim(s) for s in sets]
+    for s, v in zip(sets, sims, strict=True):  # the majority of each bit, plainly
+        assert v & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in s) > len(s))
+    got = {r[0]: r[1] for r in near_dedup.jaccard_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    jaccard = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if jaccard(a, b) >= 0.8:
+                lo, hi = sorted((want[a], want[b]))
+                want = [lo if x == hi else x for x in want]
+    assert got == dict(enumerate(want)) and want[21] == 20
+    at = {near_dedup._fp(s): i for i, s in enumerate(sets)}
+    (_, pairs), = found
+    pairs = {(at[r.a], at[r.b]) for r in pairs.collect()}
+    bits = lambda a, b: ((sims[a] ^ sims[b]) & (1 << 64) - 1).bit_count()
+    assert pairs and all(bits(a, b) <= near_dedup.RADIUS for a, b in pairs)
+    up = list(range(len(texts)))  # the trees leave a forest of all close pairs
+    for a, b in pairs:
+        lo, hi = sorted((up[a], up[b]))
+        up = [lo if x == hi else x for x in up]
+    assert all(up[a] == up[b] for a in range(len(texts)) for b in range(a) if bits(a, b) <= near_dedup.RADIUS)
