@@ -75,9 +75,8 @@ def _links(radius: int):
             while stack:  # every earlier fingerprint within the radius
                 j = stack.pop()
                 d = (fps[j] ^ x).bit_count()
-                if d <= radius and forest.find(i) != forest.find(j):
+                if d <= radius:
                     forest.union(i, j)
-                    yield signed[j], signed[i]
                 for e in range(max(0, d - radius), d + radius + 1):
                     k = kids[j].get(e)
                     if k is not None:
@@ -90,6 +89,12 @@ def _links(radius: int):
                     break
                 at = hang
             kids.append({})
+        last: dict[int, int] = {}
+        for i in range(len(fps)):
+            r = forest.find(i)
+            if r in last:
+                yield signed[last[r]], signed[i]
+            last[r] = i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,17 +149,12 @@ def _sharded(reps: DataFrame, radius: int) -> DataFrame:
     return parts_.groupBy("__key", "__sub").agg(F.collect_list("__fp").alias("__members")).where(F.size("__members") > 1).select("__members")
 
 
-def links(fingerprints: DataFrame, radius: int) -> DataFrame:
-    """(a, b): a spanning forest, for each shard, of the links between distinct ``__fp`` that differ in ``radius`` bits or fewer."""
-    return _sharded(fingerprints, radius).mapInArrow(_links(radius), "a long, b long")
-
-
 def _labels(docs: DataFrame, columns: list[F.Column], text_col: str, shingle: int, radius: int) -> DataFrame:
     """``columns`` of each row with its fingerprint ``__fp`` and group ``c``, a fingerprint of the group."""
     plain = docs.select(*columns, column(text_col).alias("__fp"))
     schema = D.StructType([*plain.schema.fields[:-1], D.StructField("__fp", D.LongType())])
     rows = cut(plain.mapInArrow(_fingerprints(shingle), schema))
-    found = components(links(rows.select("__fp").distinct(), radius))
+    found = components(_sharded(rows.select("__fp").distinct(), radius).mapInArrow(_links(radius), "a long, b long"))
     return rows.join(found, rows["__fp"] == found["node"], "left").withColumn("c", F.coalesce("component", "__fp")).drop("node", "component")
 
 
