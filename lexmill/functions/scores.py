@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from . import sequences
 from .predicates import BIBLIO_DENSE, CITATION_LINE, DOI, PUNCTUATION, bad_title, reasons
 from .text import blank, content_tokens, let, negative_cue, normalize_eval, normalize_heading, numbers, reference_line_ratio, sentence_chunks, table_line_ratio
 
@@ -134,10 +135,28 @@ def _best(pieces: list[str], reference: str) -> float:
     return best
 
 
+def _best_each(pieces: list, references: list, floors: list) -> list[float]:
+    """The greatest T25 of each row's pieces with its reference, its floor if none is greater; no reference or pieces: the floor.
+
+    Rows go together through bit sets; references and pieces that are too long for these go through ``_best``.
+    """
+    out = [float(z) for z in floors]
+    rows = [i for i, (ps, r) in enumerate(zip(pieces, references, strict=True)) if r and ps is not None and len(ps)]
+    for i in rows:
+        slow = [p for p in pieces[i] if len(references[i]) > sequences.MOST or len(p) > sequences.LONGEST]
+        if slow:
+            out[i] = max(out[i], _best(slow, references[i]))
+    rows = [i for i in rows if len(references[i]) <= sequences.MOST]
+    found = sequences.best_ratios([[p for p in pieces[i] if 0 < len(p) <= sequences.LONGEST] for i in rows], [references[i] for i in rows], [out[i] for i in rows])
+    for i, x in zip(rows, found.tolist(), strict=True):
+        out[i] = x
+    return out
+
+
 @pandas_udf(DoubleType())
-def best_sentence_ratio(pieces: pd.Series, reference: pd.Series) -> pd.Series:
-    """Greatest T25 of any piece with the reference."""
-    return pd.Series([_best(ps, r) if r else 0.0 for ps, r in zip(pieces, reference, strict=True)])
+def best_sentence_ratio(pieces: pd.Series, reference: pd.Series, floor: pd.Series) -> pd.Series:
+    """Greatest T25 of any piece with the reference, ``floor`` at least."""
+    return pd.Series(_best_each(list(pieces), list(reference), list(floor)), dtype=float)
 
 
 @pandas_udf(DoubleType())
@@ -153,8 +172,10 @@ def sequence_ratio_above(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Ser
     return pd.Series([one(*r) for r in zip(a, b, least, strict=True)])
 
 
-def best_sentence_similarity(answer: Column, reference: Column) -> Column:
-    return best_sentence_ratio(F.filter(F.transform(sentence_chunks(answer), lambda p: normalize_eval(p)), lambda p: p != ""), normalize_eval(reference))
+def best_sentence_similarity(answer: Column, reference: Column, floor: Column | None = None, asked: Column | None = None) -> Column:
+    """C16, ``floor`` at least; rows that aren't ``asked`` for get the floor."""
+    pieces = F.filter(F.transform(sentence_chunks(answer), lambda p: normalize_eval(p)), lambda p: p != "")
+    return best_sentence_ratio(pieces if asked is None else F.when(asked, pieces), normalize_eval(reference), F.lit(0.0) if floor is None else floor)
 
 
 def token_coverage(answer: Column, concept: Column) -> Column:
