@@ -192,11 +192,15 @@ def number_match(answer: Column, concept: Column) -> Column:
 def concept_overlap(answer: Column, concept: Column) -> Column:
     """1 if contained, else by numbers, tokens and sequence similarity."""
     a, k = normalize_eval(answer), normalize_eval(concept)
-    cover, best, nums = token_coverage(answer, concept), best_sentence_similarity(answer, concept), number_match(answer, concept)
+    cover, nums, figures = token_coverage(answer, concept), number_match(answer, concept), F.size(numbers(concept)) > 0
+    # without figures a best below the coverage doesn't matter, and best is the coverage at least
+    best = best_sentence_similarity(answer, concept, F.when(figures, 0.0).otherwise(cover), (k != "") & ~F.contains(a, k))
+    least = best / 0.9 - 1e-9
+    near = F.when(~figures & (2.0 * F.least(F.char_length(a), F.char_length(k)) > least * (F.char_length(a) + F.char_length(k))), a)  # no long text travels in vain
     return (
         F.when((a == "") | (k == ""), 0.0).when(F.contains(a, k), 1.0)
-        .when(F.size(numbers(concept)) > 0, F.greatest(nums, 0.55 * nums + 0.25 * cover + 0.20 * best))
-        .otherwise(F.greatest(cover, best, sequence_ratio_above(a, k, F.greatest(cover, best) / 0.9 - 1e-9) * 0.9))
+        .when(figures, F.greatest(nums, 0.55 * nums + 0.25 * cover + 0.20 * best))
+        .otherwise(F.greatest(best, sequence_ratio_above(near, k, least) * 0.9))
     )
 
 
