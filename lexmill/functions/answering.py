@@ -218,8 +218,8 @@ def sentence_score(sentence: Column, query: Column, section: Column, asks_numeri
     return let(question(query, asks_numeric), lambda a: score_of(sentence, a, section))
 
 
-def score_of(sentence: Column, asked: Column, section: Column) -> Column:
-    """C12 for a ``question``."""
+def score_of(sentence: Column, asked: Column, section: Column, folded: Column | None = None, folded_section: Column | None = None) -> Column:
+    """C12 for a ``question``; with the folded forms of sentence and section, if known."""
 
     def score(x: Column) -> Column:
         q, t, s = asked["q"], x["t"], x["s"]
@@ -235,7 +235,7 @@ def score_of(sentence: Column, asked: Column, section: Column) -> Column:
         )
         return F.when(holds(t, FRAGMENT_MARKERS), -1.0).otherwise(F.round(overlap + by_phrase + points, 6))
 
-    return let(F.struct(fold(sentence).alias("t"), fold(section).alias("s")), score)
+    return let(F.struct((fold(sentence) if folded is None else folded).alias("t"), (fold(section) if folded_section is None else folded_section).alias("s")), score)
 
 
 # ------------------------------------------------------------------ decisions

@@ -48,23 +48,33 @@ LEAST_SCORE = 2.0
 CLAIMS = "array<struct<claim:string,chunk_id:string,section_title:string>>"
 
 
-def candidate_sentences(text: Column) -> Column:
-    """Sentences of 30 signs or more of a chunk, without header labels and what they name; single line ends join lines."""
+def _folded_sentences(text: Column) -> Column:
+    """(claim, n) of the candidate sentences of a chunk and their folded forms; no sentence is folded twice."""
     t = blank(text)
     for pattern, to in FRAGMENT_CUTS:
         t = F.regexp_replace(t, pattern, to)
     parts = F.transform(F.split(t, r"(?<=[.?!])\s+|\n+"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "), F.lit(" -\t\r\n")))
-    return F.filter(parts, lambda x: (F.char_length(x) >= 30) & ~holds(fold(x), FRAGMENT_MARKERS))
+    long = F.filter(parts, lambda x: F.char_length(x) >= 30)
+    return F.filter(F.transform(long, lambda x: F.struct(x.alias("claim"), fold(x).alias("n"))), lambda x: ~holds(x["n"], FRAGMENT_MARKERS))
+
+
+def candidate_sentences(text: Column) -> Column:
+    """Sentences of 30 signs or more of a chunk, without header labels and what they name; single line ends join lines."""
+    return F.transform(_folded_sentences(text), lambda x: x["claim"])
 
 
 def _candidates(chunks: Column, query: Column, numeric: Column, more) -> Column:
     """(score, place, sentence, folded, chunk_id, section) of every candidate; ``more(folded, sentence)`` is added to the score."""
     def of(c: Column, asked: Column) -> Column:
-        def one(s: Column) -> Column:
-            return let(fold(s), lambda n: F.struct((score_of(s, asked, blank(c["section_title"])) + more(n, s)).alias("score"), s.alias("claim"), n.alias("n"),
-                                                   c["chunk_id"].alias("chunk_id"), blank(c["section_title"]).alias("section_title")))
+        def each(section: Column) -> Column:
+            def one(x: Column) -> Column:
+                score = score_of(x["claim"], asked, section["raw"], x["n"], section["folded"]) + more(x["n"], x["claim"])
+                return F.struct(score.alias("score"), x["claim"].alias("claim"), x["n"].alias("n"), c["chunk_id"].alias("chunk_id"), section["raw"].alias("section_title"))
+
+            return F.transform(_folded_sentences(c["text"]), one)
 
-        return F.transform(candidate_sentences(c["text"]), one)
+        raw = blank(c["section_title"])
+        return let(F.struct(raw.alias("raw"), fold(raw).alias("folded")), each)
 
     every = let(question(query, numeric), lambda asked: F.flatten(F.transform(chunks, lambda c: of(c, asked))))
     found = F.filter(every, lambda x: x["score"] >= LEAST_SCORE)
